@@ -172,8 +172,9 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, frame_bytes: int =
             nonlocal bundle, rows, count
             name = f"{stem}-{count:05d}.warc.zst"
             data = bundle.finish()
-            with store.open_output_stream(f"{folder}/{name}", compression=None) as f:
+            with store.open_output_stream(f"{folder}/_{name}", compression=None) as f:
                 f.write(data)
+            store.move(f"{folder}/_{name}", f"{folder}/{name}")  # only whole bundles have names that readers list
             columns = list(zip(*[(p, r, name, *place, n) for p, r, place, n in rows]))
             out = pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()])], names=["page_id", "record_id", "bundle", "frame", "frame_offset", "record_bytes"])
             bundle, rows, count = Bundle(frame_bytes), [], count + 1
@@ -204,8 +205,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if bundles.isEmpty():  # an empty table: no bundle was written
         return spark.createDataFrame([], READ)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(f"{path.rstrip('/')}/bundles")
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content").join(bundles, "bundle", "left_semi")
-    return files.mapInArrow(_read_batches, READ)
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
+    # Records, not bundles, are joined: so no bundle is shuffled, and columns that nobody reads aren't either.
+    return named.mapInArrow(_read_batches, READ).join(bundles.withColumnRenamed("bundle", "known"), F.col("bundle") == F.col("known"), "left_semi")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, frame_offset long, url string, block binary"
