@@ -120,7 +120,8 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repea
     begin, end = F.col("end") - F.col("size"), F.col("end")
     pieces = placed.select("row", "sid", "shard", begin.alias("begin"), "end", F.explode(F.sequence(F.floor(begin / block), F.floor((end - 1) / block))).alias("block"))
     part = F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
-    taken = pieces.join(times, ["sid", "shard", "block"]).groupBy("row").agg(F.sum(part * F.col("times")).alias("taken"))
+    # Blocks grow with the corpus, though Spark's estimate of an exploded sequence doesn't: no broadcast.
+    taken = pieces.join(times.hint("merge"), ["sid", "shard", "block"]).groupBy("row").agg(F.sum(part * F.col("times")).alias("taken"))
     return known.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
