@@ -1,4 +1,290 @@
-"""Queries by name, and the SQL that checks them."""
+"""The engine's operators over the tables of a warehouse folder, each with SQL that checks it.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The transition graph T links a user to the next event's user where an error is followed by a purchase (value > 30).
+The containment tree C is region, nation, customer, order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import graph, patching, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+T_SQL = """t AS (SELECT DISTINCT user_id AS src, dst FROM (
+  SELECT user_id, event_type, value, lead(user_id) OVER w AS dst, lead(event_type) OVER w AS next_type FROM events WINDOW w AS (ORDER BY ts, event_id))
+  WHERE event_type = 'error' AND next_type = 'purchase' AND value > 30)"""
+C_SQL = """c AS (SELECT 'region::' || n_regionkey AS src, 'nation::' || n_nationkey AS dst, 'contains' AS kind FROM nation
+  UNION SELECT 'nation::' || c_nationkey, 'customer::' || c_custkey, 'contains' FROM customer
+  UNION SELECT 'customer::' || o_custkey, 'order::' || o_orderkey, 'contains' FROM orders)"""
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T as (src, dst).  Successors are found within minutes; a minute's last event meets the next minute's first.
+
+    So no task orders all events: the second window runs over one row for each minute.
+    """
+    events = table(spark, sf_dir, "events").select(F.struct("ts", "event_id").alias("at"), "user_id", "event_type", "value", F.date_trunc("hour", "ts").alias("part"))
+    within = Window.partitionBy("part").orderBy("at")
+    lead = events.select("*", F.lead("user_id").over(within).alias("dst"), F.lead("event_type").over(within).alias("next_type"))
+    firsts = events.groupBy("part").agg(F.min_by(F.struct("user_id", "event_type"), "at").alias("first"))
+    after = Window.orderBy("part")  # one row for each hour of the log
+    following = firsts.select(F.col("part").alias("p"), F.lead("first").over(after).alias("next_first"))
+    joined = lead.join(following, lead["part"] == following["p"])
+    joined = joined.select("user_id", "event_type", "value", F.coalesce("dst", "next_first.user_id").alias("dst"), F.coalesce("next_type", "next_first.event_type").alias("next_type"))
+    return joined.where("event_type = 'error' and next_type = 'purchase' and value > 30").select(F.col("user_id").alias("src"), "dst").distinct()
+
+
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def edge(name: str, a: str, x: str, b: str, y: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.concat(F.lit(a + "::"), F.col(x)).alias("src"), F.concat(F.lit(b + "::"), F.col(y)).alias("dst"), F.lit("contains").alias("kind"))
+
+    rows = edge("nation", "region", "n_regionkey", "nation", "n_nationkey").union(edge("customer", "nation", "c_nationkey", "customer", "c_custkey"))
+    return graph.distinct_edges(rows.union(edge("orders", "customer", "o_custkey", "order", "o_orderkey")))
+
+
+@query("SELECT source || '/' || doc_id AS path, lang AS language, CAST(strlen(text) AS BIGINT) AS size_bytes, contains(text, chr(0)) AS is_binary FROM documents WHERE strlen(text) <= 2097152")
+def q01_file_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.where(F.octet_length("text") <= 2097152).select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("lang").alias("language"), F.octet_length("text").cast("long").alias("size_bytes"), F.contains("text", F.lit("\0")).alias("is_binary"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def q02_extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+
+
+@query("""WITH u AS (SELECT 'customer::' || c_custkey AS id, c_name AS name, c_acctbal AS weight, 1 AS seq FROM customer
+  UNION ALL SELECT 'customer::' || o_custkey, NULL, max(o_totalprice), 2 FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'supplier::' || s_suppkey, s_name, s_acctbal, 1 FROM supplier)
+SELECT id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(weight, seq) FILTER (weight IS NOT NULL) AS weight FROM u GROUP BY id""")
+def q03_merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ident = lambda kind, key: F.concat(F.lit(kind + "::"), F.col(key)).alias("id")
+    a = table(spark, sf_dir, "customer").select(ident("customer", "c_custkey"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("weight"), F.lit(1).alias("seq"))
+    b = table(spark, sf_dir, "orders").groupBy(ident("customer", "o_custkey")).agg(F.lit(None).cast("string").alias("name"), F.max("o_totalprice").alias("weight"), F.lit(2).alias("seq"))
+    c = table(spark, sf_dir, "supplier").select(ident("supplier", "s_suppkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("weight"), F.lit(1).alias("seq"))
+    return graph.merged_nodes(a.unionByName(b).unionByName(c))
+
+
+@query(f"WITH {T_SQL}, {C_SQL} SELECT * FROM c UNION SELECT 'user::' || src, 'user::' || dst, 'imports' FROM t")
+def q04_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transitions(spark, sf_dir).select(F.concat(F.lit("user::"), "src").alias("src"), F.concat(F.lit("user::"), "dst").alias("dst"), F.lit("imports").alias("kind"))
+    return containment(spark, sf_dir).unionByName(t)
+
+
+@query(f"WITH {C_SQL} SELECT dst AS id FROM c WHERE src = 'nation::3' UNION ALL SELECT src FROM c WHERE dst = 'nation::3'")
+def q05_neighbors_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = containment(spark, sf_dir)
+    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation::"), "n_nationkey").alias("id"))
+    return graph.KnowledgeGraph(nodes, edges).neighbors("nation::3", "contains", "both")
+
+
+def _bfs_sql(a: str, b: str) -> str:
+    return f"""WITH RECURSIVE {T_SQL}, r(id, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT t.{b}, r.depth + 1 FROM r JOIN t ON t.{a} = r.id WHERE r.depth < 5)
+SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0"""
+
+
+@query(_bfs_sql("src", "dst"))
+def q06_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(transitions(spark, sf_dir), 0, 5)
+
+
+@query(_bfs_sql("dst", "src"))
+def q06_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(transitions(spark, sf_dir), 0, 5, upstream=True)
+
+
+SCC_SQL = f"""WITH RECURSIVE {T_SQL}, k(a, b) AS (SELECT src, dst FROM t UNION SELECT k.a, t.dst FROM k JOIN t ON t.src = k.b),
+s AS (SELECT x.a AS id, min(x.b) AS scc FROM k x JOIN k y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
+@query(SCC_SQL + " SELECT id, scc FROM s")
+def q07_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components_by_reach(transitions(spark, sf_dir))
+
+
+@query(SCC_SQL + " SELECT 'circular_imports' AS rule_id, scc, count(*) AS cycle_size, 'medium' AS severity, 'Circular import among ' || count(*) || ' modules' AS title FROM s GROUP BY scc HAVING count(*) >= 2")
+def q08_circular_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.components_by_reach(transitions(spark, sf_dir)).groupBy("scc").agg(F.count("*").alias("cycle_size")).where("cycle_size >= 2")
+    return found.select(F.lit("circular_imports").alias("rule_id"), "scc", "cycle_size", F.lit("medium").alias("severity"), F.format_string("Circular import among %d modules", "cycle_size").alias("title"))
+
+
+@query("""WITH h AS (SELECT page_id, list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '.')) AS parts FROM pages),
+m AS (SELECT array_to_string(parts, '.') AS module FROM h GROUP BY 1 HAVING count(*) >= 3 UNION SELECT DISTINCT array_to_string(parts[1:2], '.') FROM h WHERE parts[1] = 'com'),
+p AS (SELECT page_id, array_to_string(parts, '.') AS target, n, array_to_string(parts[1:n], '.') AS prefix FROM h, unnest(range(1, len(parts) + 1)) AS x(n))
+SELECT page_id, any_value(target) AS target, arg_max(module, n) FILTER (module IS NOT NULL) AS resolved, count(module) = 0 AS is_external FROM p LEFT JOIN m ON prefix = module GROUP BY page_id""")
+def q09_resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.reverse(F.split(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1), "\\."))
+    hosts = table(spark, sf_dir, "pages").select("page_id", parts.alias("parts"))
+    dotted = F.array_join("parts", ".")
+    known = hosts.groupBy(dotted.alias("module")).count().where("count >= 3").select("module")
+    known = known.union(hosts.where(F.get("parts", F.lit(0)) == "com").select(F.array_join(F.slice("parts", 1, 2), "."))).distinct()
+    tried = hosts.select("page_id", dotted.alias("target"), "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n"))
+    tried = tried.select("page_id", "target", "n", F.array_join(F.slice(F.col("parts"), F.lit(1), F.col("n")), ".").alias("prefix"))
+    hit = tried.join(known, tried["prefix"] == known["module"], "left")
+    best = F.max_by("module", F.when(F.col("module").isNotNull(), F.col("n")))
+    return hit.groupBy("page_id").agg(F.first("target").alias("target"), best.alias("resolved"), (F.count("module") == 0).alias("is_external"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM lineitem JOIN (SELECT o_orderkey, arg_max(o_custkey, o_orderdate) AS o_custkey FROM orders GROUP BY o_orderkey) ON l_orderkey = o_orderkey")
+def q10_parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = table(spark, sf_dir, "orders").groupBy("o_orderkey").agg(F.max_by("o_custkey", "o_orderdate").alias("o_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return lines.join(last, lines["l_orderkey"] == last["o_orderkey"]).drop("o_orderkey")
+
+
+@query(f"WITH {C_SQL} SELECT src AS id, count(*) AS degree FROM c GROUP BY src")
+def q11_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment(spark, sf_dir).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+
+
+@query(f"WITH {C_SQL} SELECT DISTINCT id FROM (SELECT src AS id FROM c UNION SELECT dst FROM c) WHERE id NOT IN (SELECT 'customer::' || c_custkey FROM customer)")
+def q12_missing_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer::"), "c_custkey").alias("id"))
+    return graph.missing_endpoints(nodes, containment(spark, sf_dir))
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    base = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = table(spark, sf_dir, "labels").where("toxic = 1 or quality = 0").select("doc_id", F.lit("removed").alias("new_content"), (F.col("toxic") == 1).alias("is_deletion"))
+    return base, edits
+
+
+PATCHED_SQL = "p AS (SELECT d.doc_id, CASE WHEN quality = 0 THEN 'removed' ELSE text END AS text FROM documents d LEFT JOIN labels l USING (doc_id) WHERE toxic IS DISTINCT FROM 1)"
+
+
+@query(f"WITH {PATCHED_SQL} SELECT doc_id, md5(text) AS digest FROM p")
+def q13_apply_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, edits = _edits(spark, sf_dir)
+    return patching.applied(base, edits, "doc_id", "text").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'FAIL' WHEN 'A' THEN 'WARN' ELSE 'PASS' END AS verdict FROM lineitem),
+k AS (SELECT *, coalesce(sum(CASE WHEN verdict = 'FAIL' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM s)
+SELECT l_orderkey, count(*) AS kept, CASE WHEN bool_or(verdict = 'FAIL') THEN 'FAIL' WHEN bool_or(verdict = 'WARN') THEN 'WARN' ELSE 'PASS' END AS overall FROM k WHERE b = 0 GROUP BY l_orderkey""")
+def q15_validation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "WARN").otherwise("PASS")
+    results = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", verdict.alias("verdict"))
+    kept = graph.kept_until_failure(results, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"])
+    overall = F.when(F.bool_or(F.col("verdict") == "FAIL"), "FAIL").when(F.bool_or(F.col("verdict") == "WARN"), "WARN").otherwise("PASS")
+    return kept.groupBy("l_orderkey").agg(F.count("*").alias("kept"), overall.alias("overall"))
+
+
+@query("SELECT o_custkey, count(*) AS methods FROM orders GROUP BY o_custkey HAVING count(*) > 15")
+def q16_god_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("methods")).where("methods > 15")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS lines FROM documents WHERE len(string_split(text, chr(10))) > 60")
+def q17_long_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("lines")).where("lines > 60")
+
+
+@query(f"WITH {T_SQL} SELECT DISTINCT src AS id FROM t WHERE src NOT IN (SELECT dst FROM t)")
+def q18_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = transitions(spark, sf_dir)
+    return t.select(F.col("src").alias("id")).distinct().join(t.select(F.col("dst").alias("id")), "id", "left_anti")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q19_missing_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, unnest(regexp_extract_all(text, 'token = \"([0-9a-f]{40})\"', 1)) AS literal FROM documents")
+def q20_hardcoded_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("literal"))
+
+
+@query("SELECT user_id, event_type, count(*) AS repeats FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type = before GROUP BY user_id, event_type HAVING count(*) >= 2")
+def q21_repeated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", before.alias("before")).where("event_type = before")
+    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("repeats")).where("repeats >= 2")
+
+
+@query("SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS title, count(*) AS turns, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id")
+def q22_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
+    title = F.min_by("text", F.when(F.col("role") == "user", F.col("turn")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(title.alias("title"), F.count("*").alias("turns"), roles.alias("roles"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def q23_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+TOKENS_SQL = "SELECT {id} AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM {table}"
+BM25_SQL = f"""WITH q AS (SELECT DISTINCT * FROM ({TOKENS_SQL.format(id="item_id", table="(SELECT * FROM benchmark WHERE item_id IN (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 5))")})),
+w AS ({TOKENS_SQL.format(id="doc_id", table="documents")}), l AS (SELECT id, count(*) AS n FROM w GROUP BY id), s AS (SELECT avg(n) AS mean, count(*) AS docs FROM l),
+tf AS (SELECT w.id, w.term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY w.id, w.term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT q.id AS query_id, tf.id AS doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l ON l.id = tf.id CROSS JOIN s GROUP BY q.id, tf.id"""
+
+
+@query(f"WITH r AS ({BM25_SQL}) SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM r) WHERE k <= 10")
+def q25_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(5).select(F.col("item_id").alias("query_id"), "text")
+    scores = retrieval.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
+    return retrieval.top(scores, 10)
+
+
+@query("""WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 6) AS score FROM embeddings, v ORDER BY score DESC, vec_id LIMIT 20""")
+def q26_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(vectors, vectors.where("vec_id = 0").first()["embedding"], 20)
+
+
+@query("SELECT 0 AS changed, 0 AS missing")
+def q14_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, edits = _edits(spark, sf_dir)
+    patching.applied(base, edits, "doc_id", "text")  # a version of its own; the base is the rollback
+    difference = patching.changes(base, base, "doc_id", "text")
+    return difference.agg(F.count("*").cast("int").alias("changed"), F.coalesce(F.sum((F.col("change") == "removed").cast("int")), F.lit(0)).cast("int").alias("missing"))
+
+
+@query(f"WITH {PATCHED_SQL} SELECT d.doc_id, CASE WHEN p.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM documents d LEFT JOIN p USING (doc_id) WHERE p.text IS DISTINCT FROM d.text")
+def q31_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, edits = _edits(spark, sf_dir)
+    return patching.changes(base, patching.applied(base, edits, "doc_id", "text"), "doc_id", "text")
+
+
+@query("SELECT source, string_agg(lang, ',' ORDER BY n DESC, lang) AS languages, max(n) AS most FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
+def q35_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    languages = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "lang"))), lambda x: x["lang"]), ",")
+    return counted.groupBy("source").agg(languages.alias("languages"), F.max("n").alias("most"))
+
+
+@query()
+def q33_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, edits = _edits(spark, sf_dir)
+    joined = base.join(edits, "doc_id")
+    new = F.when(~F.col("is_deletion"), F.col("new_content"))
+    return joined.select("doc_id", patching.unified_diff(F.col("doc_id").cast("string"), F.col("text"), new).alias("diff"))
+
+
+@query()
+def q34_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", patching.syntax_problem(F.lit("a.py"), F.col("text")).alias("problem"))
