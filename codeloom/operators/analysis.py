@@ -91,10 +91,8 @@ def graph_of(found: DataFrame, parsed: DataFrame) -> KnowledgeGraph:
 
 def circular_imports(graph: KnowledgeGraph) -> DataFrame:
     """Components of internal modules that import each other, two members at least."""
-    ids = graph.nodes.select(F.xxhash64("id").alias("key"), "qualified_name", "file", "external", "id")
-    edges = graph.edges.where("kind = 'imports'").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-    scc = components_by_reach(edges).select(F.col("id").alias("member"), "scc")
-    members = scc.join(ids, scc["member"] == ids["key"]).where("not coalesce(external, false)")
+    scc = components_by_reach(graph.edges.where("kind = 'imports'"))
+    members = scc.join(graph.nodes, "id").where("not coalesce(external, false)")
     rows = members.groupBy("scc").agg(F.sort_array(F.collect_list("qualified_name")).alias("modules"), F.min_by("file", "id").alias("file")).where("size(modules) >= 2")
     size = F.size("modules")
     title = F.format_string("Circular import among %d modules", size)

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Edges that one task searches alone: about 200 MB of Python objects.
+ONE_TASK = 500_000
+
+
 class NodeNotFoundError(KeyError):
     """The graph has no such node."""
 
@@ -40,11 +47,43 @@ def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(nodes.select("id"), "id", "left_anti")
 
 
-def bfs(edges: DataFrame, start, depth: int = 5, kind: str | None = None, upstream: bool = False) -> DataFrame:  # noqa: ANN001
-    """(id, depth) of nodes within `depth` steps of start, which is left out; depth is the shortest distance."""
-    step = edges if kind is None else edges.where(F.col("kind") == kind)
-    step = step.select(F.col("dst" if upstream else "src").alias("from"), F.col("src" if upstream else "dst").alias("to")).distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], f"id {step.schema['from'].dataType.simpleString()}, depth int")
+def _fits(pairs: DataFrame, most: int) -> bool:
+    """Whether the edges are few enough for one task; stops counting there."""
+    return pairs.limit(most + 1).count() <= most
+
+
+def _reached(start, depth: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:  # noqa: ANN001
+    """Breadth-first search over the rows of one task."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after: dict = {}
+        for frame in frames:
+            for a, b in zip(frame["from"].tolist(), frame["to"].tolist()):
+                after.setdefault(a, []).append(b)
+        seen, front = {start: 0}, [start]
+        for level in range(1, depth + 1):
+            front = list(dict.fromkeys(b for a in front for b in after.get(a, ()) if b not in seen))
+            seen.update((b, level) for b in front)
+        del seen[start]
+        if seen:
+            yield pd.DataFrame({"id": list(seen), "depth": list(seen.values())})
+
+    return kernel
+
+
+def bfs(edges: DataFrame, start, depth: int = 5, kind: str | list[str] | None = None, upstream: bool = False, one_task: int = ONE_TASK) -> DataFrame:  # noqa: ANN001
+    """(id, depth) of nodes within `depth` steps of start, which is left out; depth is the shortest distance.
+
+    kind is one kind of edge, several, or None for all.  At most `one_task` edges are searched in a single task; more
+    are joined level by level, with the same rows.  An unknown start gives no rows.
+    """
+    step = edges if kind is None else edges.where(F.col("kind").isin([kind] if isinstance(kind, str) else list(kind)))
+    step = step.select(F.col("dst" if upstream else "src").alias("from"), F.col("src" if upstream else "dst").alias("to")).where("from is not null and to is not null").distinct()
+    schema = f"id {step.schema['from'].dataType.simpleString()}, depth int"
+    step = cut_lineage(step)
+    if _fits(step, one_task):
+        return step.repartition(1).mapInPandas(_reached(start, depth), schema)
+    seen = edges.sparkSession.createDataFrame([(start, 0)], schema)
     front = seen
     for level in range(1, depth + 1):
         reached = step.join(front, step["from"] == front["id"]).select(F.col("to").alias("id")).distinct()
@@ -55,15 +94,70 @@ def bfs(edges: DataFrame, start, depth: int = 5, kind: str | None = None, upstre
     return seen.where("depth > 0")
 
 
-def components_by_reach(edges: DataFrame) -> DataFrame:
+def _components(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Strongly connected components over the rows of one task: two depth-first passes, the second on reversed edges."""
+    parts = [f for f in frames if len(f)]
+    if not parts:
+        return
+    rows = pd.concat(parts)
+    codes, ids = pd.factorize(pd.concat([rows["src"], rows["dst"]], ignore_index=True))
+    src, dst, n = codes[: len(rows)], codes[len(rows) :], len(ids)
+
+    def adjacency(a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
+        order = np.argsort(a, kind="stable")
+        return np.searchsorted(a[order], np.arange(n + 1)).tolist(), b[order].tolist()
+
+    first, to = adjacency(src, dst)
+    seen, finished = bytearray(n), []
+    at = first[:n]
+    for root in range(n):
+        stack = [] if seen[root] else [root]
+        seen[root] = 1
+        while stack:
+            v = stack[-1]
+            if at[v] == first[v + 1]:
+                finished.append(stack.pop())
+                continue
+            w = to[at[v]]
+            at[v] += 1
+            if not seen[w]:
+                seen[w] = 1
+                stack.append(w)
+    first, to = adjacency(dst, src)
+    component = np.full(n, -1)
+    for root in reversed(finished):
+        stack = [root] if component[root] < 0 else []
+        while stack:
+            v = stack.pop()
+            component[v] = root
+            stack += [w for w in dict.fromkeys(to[first[v] : first[v + 1]]) if component[w] < 0]
+    out = pd.DataFrame({"id": ids, "component": component})
+    grouped = out.groupby("component")["id"]
+    out["scc"], out["size"] = grouped.transform("min"), grouped.transform("size")
+    loops = rows["src"][(rows["src"] == rows["dst"])]
+    yield out[(out["size"] > 1) | out["id"].isin(loops)][["id", "scc"]]
+
+
+def components_by_reach(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, scc) of the strongly connected components of (src, dst), trivial ones left out; scc is the least member.
 
+    A node with a loop of its own is a component too; edges with a null end don't count.  At most `one_task` distinct
+    edges are one task's work; for more, the components are found by joins, with the same rows.
+    """
+    pairs = cut_lineage(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if _fits(pairs, one_task):
+        kind = pairs.schema["src"].dataType.simpleString()
+        return pairs.repartition(1).mapInPandas(_components, f"id {kind}, scc {kind}")
+    return components_by_joins(pairs)
+
+
+def components_by_joins(pairs: DataFrame) -> DataFrame:
+    """The components of distinct (src, dst), of any number of edges.
+
     Nodes without in- or out-edges are trimmed first, again and again.  Then the least id that reaches a node along
     edges is its colour, and what the colour's root reaches backward within the colour is a component; these go and
-    the rest is done again.  Work is joins over edges; lineage is cut each round.  A node with a loop of its own is a
-    component too.
+    the rest is done again.  Work is joins over edges; lineage is cut each round.
     """
-    pairs = edges.select("src", "dst").distinct()
     loops = pairs.where("src = dst").select(F.col("src").alias("id"))
     rest = cut_lineage(pairs.where("src <> dst"))
     found = None
@@ -78,14 +172,12 @@ def components_by_reach(edges: DataFrame) -> DataFrame:
         if not now:
             break
         nodes = rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct()
-        colour, total = cut_lineage(nodes.withColumn("colour", F.col("id"))), None
-        while True:
+        colour, moved = cut_lineage(nodes.withColumn("colour", F.col("id"))), True
+        while moved:
             sent = rest.join(colour, rest["src"] == colour["id"]).select(F.col("dst").alias("id"), "colour")
-            colour = cut_lineage(colour.unionByName(sent).groupBy("id").agg(F.min("colour").alias("colour")))
-            mark = colour.agg(F.sum(F.col("colour").cast("decimal(38,0)"))).first()[0]
-            if mark == total:
-                break
-            total = mark
+            own = colour.withColumn("old", F.col("colour")).unionByName(sent, allowMissingColumns=True)
+            colour = cut_lineage(own.groupBy("id").agg(F.min("colour").alias("colour"), F.min("old").alias("old")))
+            moved, colour = not colour.where("colour <> old").isEmpty(), colour.drop("old")
         one, two = colour.select(F.col("id").alias("src"), F.col("colour").alias("cs")), colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd"))
         inner = cut_lineage(rest.join(one, "src").join(two, "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour")))
         member = cut_lineage(colour.where("id = colour"))
@@ -111,7 +203,7 @@ class KnowledgeGraph:
         self.nodes, self.edges = nodes, edges
 
     def _needs(self, node) -> None:  # noqa: ANN001
-        if self.nodes.where(F.col("id") == node).isEmpty():
+        if not self.has_node(node):
             raise NodeNotFoundError(node)
 
     def neighbors(self, node, kind: str | None = None, direction: str = "out") -> DataFrame:  # noqa: ANN001
@@ -131,7 +223,7 @@ class KnowledgeGraph:
         return bfs(self.edges, node, max_depth, kind, upstream=True)
 
     def find_cycles(self, kind: str | None = None) -> DataFrame:
-        """(scc, members sorted); ids must be numbers or hashed ones, see `components_by_reach`."""
+        """(scc, members sorted)."""
         edges = self.edges if kind is None else self.edges.where(F.col("kind") == kind)
         return components_by_reach(edges).groupBy("scc").agg(F.sort_array(F.collect_set("id")).alias("members"))
 
@@ -139,6 +231,27 @@ class KnowledgeGraph:
         self._needs(node)
         return self.nodes.where(F.col("id") == node).first().asDict()
 
+    def has_node(self, node) -> bool:  # noqa: ANN001
+        return not self.nodes.where(F.col("id") == node).isEmpty()
+
+    def all_nodes(self) -> DataFrame:
+        return self.nodes.select("id")
+
+    def subgraph(self, ids: DataFrame) -> KnowledgeGraph:
+        """The nodes named by ids (id) and the edges between them."""
+        kept = ids.select("id").distinct()
+        edges = self.edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        return KnowledgeGraph(self.nodes.join(kept, "id", "left_semi"), edges.select(self.edges.columns))
+
+    def root_causes(self, node, max_depth: int = 5) -> DataFrame:  # noqa: ANN001
+        """What node depends on backward along calls and imports."""
+        return bfs(self.edges, node, max_depth, ["calls", "imports"], upstream=True)
+
+    def dump(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges as JSON lines (column value), ordered, ready for `write.text`."""
+        nodes = self.nodes.orderBy("id").select(F.to_json(F.struct("*")).alias("value"))
+        return nodes, self.edges.orderBy("src", "dst", "kind").select(F.to_json(F.struct("*")).alias("value"))
+
     def node_count(self) -> int:
         return self.nodes.count()
 

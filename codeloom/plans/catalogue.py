@@ -39,9 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T as (src, dst).  Successors are found within minutes; a minute's last event meets the next minute's first.
+    """T as (src, dst).  Successors are found within hours; an hour's last event meets the next hour's first.
 
-    So no task orders all events: the second window runs over one row for each minute.
+    So no task orders all events: the second window runs over one row for each hour.
     """
     events = table(spark, sf_dir, "events").select(F.struct("ts", "event_id").alias("at"), "user_id", "event_type", "value", F.date_trunc("hour", "ts").alias("part"))
     within = Window.partitionBy("part").orderBy("at")
@@ -277,6 +277,49 @@ def q35_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("source").agg(languages.alias("languages"), F.max("n").alias("most"))
 
 
+IDENTIFIERS_SQL = """SELECT doc_id, lower(term) AS term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) AS term FROM documents)"""
+
+
+@query(f"SELECT doc_id, term, count(*) AS tf FROM ({IDENTIFIERS_SQL}) GROUP BY doc_id, term")
+def q24_identifier_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.identifier_terms(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+RANKED_SQL = """a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY strlen(text) DESC, doc_id) AS rank FROM documents ORDER BY strlen(text) DESC, doc_id LIMIT 100)"""
+
+
+@query(f"WITH {RANKED_SQL} SELECT doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id")
+def q27_rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.octet_length("text").alias("size"))
+    lists = [retrieval.ranked(d.withColumnRenamed(c, "score"), 100) for c in ("n_chars", "size")]
+    return retrieval.fused(lists).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {T_SQL}, s AS (SELECT user_id AS id FROM events GROUP BY user_id ORDER BY sum(value) DESC, user_id LIMIT 10) SELECT DISTINCT id FROM (SELECT id FROM s UNION SELECT dst FROM t WHERE src IN (SELECT id FROM s) UNION SELECT src FROM t WHERE dst IN (SELECT id FROM s))")
+def q28_graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "user_id").limit(10)
+    return retrieval.expanded(seeds.select(F.col("user_id").alias("id")), transitions(spark, sf_dir))
+
+
+@query("SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 2000")
+def q29_budget_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.octet_length("text").cast("long").alias("cost"))
+    return retrieval.packed(turns, "conv_id", ["turn", "text"], "cost", 2000).select("conv_id", "turn", "used")
+
+
+@query("SELECT doc_id, ord AS chunk, md5(body) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS body, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS ord FROM documents) WHERE trim(body, ' ' || chr(10)) <> ''")
+def q30_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.paragraphs(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("body").alias("digest"))
+
+
+@query("SELECT source, string_agg(lang, ',' ORDER BY first, lang) AS languages FROM (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY source, lang) GROUP BY source")
+def q32_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firsts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: x["lang"])
+    return firsts.groupBy("source").agg(F.array_join(ordered, ",").alias("languages"))
+
+
 @query()
 def q33_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, edits = _edits(spark, sf_dir)
