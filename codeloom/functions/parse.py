@@ -5,9 +5,11 @@ from __future__ import annotations
 import ast
 import re
 
+from .facts import FACTS, facts_of, names_used
+
 SYMBOLS = "array<struct<name:string,qualified_name:string,kind:string,parent:string,start_line:int,end_line:int>>"
 IMPORTS = "array<struct<target_module:string,is_relative:boolean,alias:string>>"
-PARSED = f"file string, symbols {SYMBOLS}, imports {IMPORTS}, parse_errors array<string>"
+PARSED = f"file string, symbols {SYMBOLS}, imports {IMPORTS}, parse_errors array<string>, facts {FACTS}, names array<string>"
 
 
 def module_name(path: str | None) -> str | None:
@@ -49,9 +51,9 @@ def imports_of(tree: ast.Module) -> list[tuple]:
 
 
 def parse(path: str, source: bytes | None) -> tuple:
-    """(file, symbols, imports, errors); never raises."""
+    """(file, symbols, imports, errors, facts, names used); never raises."""
     try:
         tree = ast.parse(source or b"")
     except (SyntaxError, ValueError, RecursionError) as e:
-        return path, [], [], [str(e)]
-    return path, symbols_of(tree, path, (source or b"").count(b"\n")), imports_of(tree), []
+        return path, [], [], [str(e)], [], []
+    return path, symbols_of(tree, path, (source or b"").count(b"\n")), imports_of(tree), [], facts_of(tree), sorted(names_used(tree))

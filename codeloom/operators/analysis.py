@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import PARSED, module_name, parse
 from ..sources.repository import RepositorySource
-from .graph import KnowledgeGraph, components_by_reach, distinct_edges, merged_nodes, missing_endpoints
+from .graph import KnowledgeGraph, distinct_edges, merged_nodes, missing_endpoints
+from .rules import DetectionError, scan  # noqa: F401
 
 ROOTS = ["", "src/", "lib/", "app/"]
 
 
-class DetectionError(ValueError):
-    """A rule id isn't registered."""
-
-
 def files(spark: SparkSession, path: str) -> DataFrame:
     spark.dataSource.register(RepositorySource)
     return spark.read.format("code_repository").load(path)
@@ -27,7 +24,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 def parsed_files(found: DataFrame) -> DataFrame:
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([parse(p, c) for p, c in zip(frame["path"], frame["content"])], columns=["file", "symbols", "imports", "parse_errors"])
+            yield pd.DataFrame([parse(p, c) for p, c in zip(frame["path"], frame["content"])], columns=["file", "symbols", "imports", "parse_errors", "facts", "names"])
 
     return found.where("not is_binary and language = 'python' and content is not null").select("path", "content").mapInPandas(kernel, PARSED)
 
@@ -89,33 +86,6 @@ def graph_of(found: DataFrame, parsed: DataFrame) -> KnowledgeGraph:
     return KnowledgeGraph(nodes.unionByName(missing_endpoints(nodes, edges), allowMissingColumns=True), edges)
 
 
-def circular_imports(graph: KnowledgeGraph) -> DataFrame:
-    """Components of internal modules that import each other, two members at least."""
-    scc = components_by_reach(graph.edges.where("kind = 'imports'"))
-    members = scc.join(graph.nodes, "id").where("not coalesce(external, false)")
-    rows = members.groupBy("scc").agg(F.sort_array(F.collect_list("qualified_name")).alias("modules"), F.min_by("file", "id").alias("file")).where("size(modules) >= 2")
-    size = F.size("modules")
-    title = F.format_string("Circular import among %d modules", size)
-    return rows.select(F.lit("circular_imports").alias("rule_id"), title.alias("title"), F.lit("medium").alias("severity"), "file", "modules", size.alias("cycle_size"))
-
-
-RULES: dict[str, Callable[[KnowledgeGraph], DataFrame]] = {"circular_imports": circular_imports}
-
-
-def scan(graph: KnowledgeGraph, rule_ids: Iterable[str] | None = None) -> list:
-    """Findings of the rules asked for, all if None; an unknown id is refused before any rule runs, a rule that fails is skipped."""
-    wanted = list(RULES) if rule_ids is None else list(rule_ids)
-    if unknown := [r for r in wanted if r not in RULES]:
-        raise DetectionError(f"unknown rules: {unknown}")
-    out: list = []
-    for r in wanted:
-        try:
-            out += RULES[r](graph).collect()  # findings are reports, not tables
-        except Exception:  # noqa: BLE001
-            continue
-    return out
-
-
 def analyze(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, KnowledgeGraph]:
     found = files(spark, path).cache()
     parsed = parsed_files(found).cache()

@@ -11,15 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import NodeNotFoundError
+
 
 #: Edges that one task searches alone: about 200 MB of Python objects.
 ONE_TASK = 500_000
 
 
-class NodeNotFoundError(KeyError):
-    """The graph has no such node."""
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the cluster shares; a purely local session may use a temporary one."""
     spark = df.sparkSession

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import ast
 import difflib
+from collections.abc import Iterable
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..errors import PatchError
+
 
 def applied(base: DataFrame, edits: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """base with edits (key, new_content, is_deletion) made: a new version; the old one is the rollback."""
@@ -48,3 +52,55 @@ def syntax_problem(path: pd.Series, content: pd.Series) -> pd.Series:
                 found = f"{getattr(e, 'lineno', 0)}:{getattr(e, 'offset', 0)}: {e.args[0] if e.args else e}"
         out.append(found)
     return pd.Series(out, dtype=object)
+
+
+class WorkingCopy:
+    """Edits (path, new_content, is_deletion) made to files of a folder, with one version to go back to."""
+
+    def __init__(self, root: str) -> None:
+        self.root = Path(root).resolve()
+        self._before: dict[Path, bytes | None] | None = None
+
+    def _at(self, path: str) -> Path:
+        target = (self.root / path).resolve()
+        if not target.is_relative_to(self.root):
+            raise PatchError(f"{path} is outside of {self.root}")
+        return target
+
+    def apply(self, edits: Iterable[tuple[str, str, bool]]) -> None:
+        """All edits in order, or none: after an error the files are as before.  No edits change nothing, not even what rollback restores."""
+        todo = [(self._at(path), content, deleted) for path, content, deleted in edits]
+        if not todo:
+            return
+        try:
+            self._before = {t: t.read_bytes() if t.exists() else None for t, _, _ in todo}
+        except OSError as e:
+            raise PatchError(f"can't read what is to be changed: {e}") from e
+        try:
+            for target, content, deleted in todo:
+                if deleted:
+                    target.unlink(missing_ok=True)
+                else:
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    target.write_bytes(content.encode())
+        except Exception as e:
+            self._restore(self._before)
+            raise PatchError(f"the patch can't be applied: {e}") from e
+
+    def rollback(self) -> None:
+        if self._before is None:
+            raise PatchError("nothing to go back to")
+        before, self._before = self._before, None
+        self._restore(before)
+
+    @staticmethod
+    def _restore(before: dict[Path, bytes | None]) -> None:
+        for target, content in before.items():
+            try:
+                if content is None:
+                    target.unlink(missing_ok=True)
+                else:
+                    target.parent.mkdir(parents=True, exist_ok=True)
+                    target.write_bytes(content)
+            except OSError:  # the other files are still restored
+                continue

@@ -11,9 +11,10 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Directories that are never entered, and languages by suffix.
+from .ecosystem import SUFFIXES
+
+#: Directories that are never entered.
 SKIPPED = {".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".idea", ".vscode", ".next", ".cache", "coverage", ".eggs", ".gradle"}
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".kt": "kotlin", ".swift": "swift", ".scala": "scala"}
 PROBE, MOST_PARSED = 8192, 2 * 1024 * 1024
 SCHEMA = "path string, language string, size_bytes bigint, is_binary boolean, content binary"
 
@@ -81,7 +82,7 @@ class RepositoryReader(DataSourceReader):
                 content = head + f.read() if not binary and size <= MOST_PARSED else None
         except OSError:
             return
-        language = "unknown" if binary else LANGUAGES.get(os.path.splitext(full)[1].lower(), "unknown")
+        language = "unknown" if binary else SUFFIXES.get(os.path.splitext(full)[1].lower(), "unknown")
         yield path, language, size, binary, content
 
 
