@@ -128,9 +128,13 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repea
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """docs with each document as often as the mix takes it: its taken words over its size, rounded half up.
 
-    Documents that agree in id and size are taken alike.  Documents without words are left out.
+    Documents that agree in id and size are taken alike.  Documents without words are left out.  Columns of docs may
+    have any names.
     """
     mix = mixed(docs, **options).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("uses"))
     mix = mix.groupBy("mixed_id").agg(F.max("uses").alias("uses")).where("uses > 0")
     joined = docs.join(mix, docs["doc_id"].eqNullSafe(mix["mixed_id"]))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("uses"))).alias("__use")).drop("__use")
+    each = "use"
+    while each in docs.columns:
+        each += "_"
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), mix["uses"])).alias(each)).drop(each)
