@@ -38,6 +38,8 @@ WORDS = {
     "header", "masthead", "comment", "comments", "respond", "disqus", "reply", "replies", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe",
     "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "search", "form", "hidden", "copyright", "disclaimer", "toc", "tags", "metadata",
 }
+#: Words that begin a class which tells of a page's layout, not of the part itself.
+LAYOUT = {"has", "no", "with", "without"}
 MAIN = {"article", "main"}
 POSITIVE = {"article", "body", "content", "entry", "main", "post", "story", "text", "page"}
 SPACES = re.compile(r"\s+")
@@ -45,11 +47,13 @@ LEAST_LENGTH = 25
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "out", "score", "text", "linked", "commas")
+    __slots__ = ("tag", "words", "parent", "children", "out", "wraps", "holds", "score", "text", "linked", "commas")
 
     def __init__(self, tag: str, words: set[str], parent: Node | None, out: bool) -> None:
         self.tag, self.words, self.parent, self.out = tag, words, parent, out
         self.children: list[Node | str] = []
+        #: wraps: left out, but an article in it is not, as some pages are one form; holds: such a part is in it.
+        self.wraps = self.holds = False
         self.score, self.text, self.linked, self.commas = 0.0, 0, 0, 0
 
 
@@ -60,7 +64,9 @@ def _words(attributes: str) -> tuple[set[str], bool]:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape(value.strip("\"'"))
         if name in ("class", "id"):
-            words |= {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)}
+            for name in value.split():
+                cut = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", name)]
+                words |= set() if LAYOUT & set(cut[:1]) else set(cut)
         elif name == "role":
             out |= value.strip().lower() in ROLES
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -112,6 +118,8 @@ def parsed(page: str) -> Node:
             else:
                 node.children.append(" " if tag == "br" else "")
             continue
+        if node.tag == "head":  # its end tag may be left out
+            node = node.parent or node
         if tag in ("html", "body"):
             continue
         if tag in ENDS_P:
@@ -130,7 +138,12 @@ def parsed(page: str) -> Node:
                 node = found.parent
         words, out = _words(m[3]) if m[3].strip() else (set(), False)
         out |= tag in LEFT_OUT or (bool(words & WORDS) and tag not in MAIN)
-        child = Node(tag, words, node, node.out or out)
+        child = Node(tag, words, node, out or (node.out and not (node.wraps and tag in MAIN) and tag != "main"))
+        child.wraps = child.out and (node.wraps or not node.out) and not (out and tag != "form")
+        if node.out and not child.out:
+            up = node
+            while up is not None and up.out and not up.holds:
+                up.holds, up = True, up.parent
         node.children.append(child)
         if not m[3].endswith("/") or tag in BLOCKS:
             node = child
@@ -161,10 +174,12 @@ def blocks(node: Node, whole: bool = False) -> list[tuple[str, Node, int]]:
         stack.append((at, k + 1, holder, link))
         child = at.children[k]
         if isinstance(child, str):
+            if at.out and not whole:
+                continue
             run.append(child)
             if link:
                 linked[0] += len(child)
-        elif child.out and not whole:
+        elif child.out and not child.holds and not whole:
             run.append(" ")
             if child.tag in BLOCKS:
                 flush(holder)

@@ -194,6 +194,21 @@ def test_html():
     assert html_extract.main_blocks("") == [] and html_extract.main_blocks("<" * 2000) == html_extract.main_blocks("<" * 2000)
 
 
+def test_html_wrappers():
+    line = "A paragraph of some length, with commas, that is the main text."
+    main, side = f"<p>{line}</p>" * 2, "<p>A line of some length, with commas, at the side.</p>"
+    for page in (
+        f"<html><head><title>t</title><body>{main}",  # no end of head
+        f"<head><meta charset=x>{main}",
+        f'<body><div class="has-sidebar no-footer"><div>{main}</div><div class="sidebar">{side}</div></div>',  # words of layout
+        f"<body><form><nav>{side}</nav><article>{main}</article>{side}</form>",  # a page in a form
+        f'<body><div class="menu"><main>{main}</main></div>',
+        f'<body><article>{main}</article><form>{side}</form><div id="comments"><article>{side}</article></div><aside><article>{side}</article></aside>',
+    ):
+        assert html_extract.main_blocks(page) == [line, line], page
+    assert html_extract.main_blocks(f"<body><nav>{side}</nav><form>{side}</form>") == []
+
+
 def test_substrings(docs):
     rows = substring_dedup.repeats(docs).collect()
     assert {r.doc_id for r in rows} == {3, 4, 8, 9} - ({3, 4} if not any(r.doc_id == 3 for r in rows) else set())
