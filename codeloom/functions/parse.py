@@ -57,3 +57,12 @@ def parse(path: str, source: bytes | None) -> tuple:
     except (SyntaxError, ValueError, RecursionError) as e:
         return path, [], [], [str(e)], [], []
     return path, symbols_of(tree, path, (source or b"").count(b"\n")), imports_of(tree), [], facts_of(tree), sorted(names_used(tree))
+
+
+#: Parsers by language; each takes (path, source) and gives what `parse` gives.
+PARSERS = {"python": parse}
+
+
+def register_parser(language: str, parser) -> None:  # noqa: ANN001
+    """Another language's parser, or another one in the place of one that is there."""
+    PARSERS[language] = parser

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import PARSED, module_name, parse
+from ..functions.parse import PARSED, PARSERS, module_name
 from ..sources.repository import RepositorySource
 from .graph import KnowledgeGraph, distinct_edges, merged_nodes, missing_endpoints
 from .rules import DetectionError, scan  # noqa: F401
@@ -16,49 +17,69 @@ from .rules import DetectionError, scan  # noqa: F401
 ROOTS = ["", "src/", "lib/", "app/"]
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str, languages: dict[str, str] | None = None) -> DataFrame:
+    """The files of a tree; languages are those of further suffixes, such as {".foo": "foo"}."""
     spark.dataSource.register(RepositorySource)
-    return spark.read.format("code_repository").load(path)
+    return spark.read.format("code_repository").option("languages", json.dumps(languages or {})).load(path)
 
 
-def parsed_files(found: DataFrame) -> DataFrame:
+def parsed_files(found: DataFrame, parsers: dict[str, Callable] | None = None) -> DataFrame:
+    """A row for each file of a language that has a parser; parsers are by language, all registered ones if not given."""
+    chosen = dict(PARSERS if parsers is None else parsers)
+
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([parse(p, c) for p, c in zip(frame["path"], frame["content"])], columns=["file", "symbols", "imports", "parse_errors", "facts", "names"])
+            rows = [chosen[x](p, c) for x, p, c in zip(frame["language"], frame["path"], frame["content"])]
+            yield pd.DataFrame(rows, columns=["file", "symbols", "imports", "parse_errors", "facts", "names"])
 
-    return found.where("not is_binary and language = 'python' and content is not null").select("path", "content").mapInPandas(kernel, PARSED)
+    readable = found.where(~F.col("is_binary") & F.col("language").isin(list(chosen)) & F.col("content").isNotNull())
+    return readable.select("language", "path", "content").mapInPandas(kernel, PARSED)
 
 
-def resolved_imports(parsed: DataFrame, found: DataFrame) -> DataFrame:
-    """(file, target_module, is_relative, alias, resolved): the candidate file of best rank, or null.
+def python_candidates(file: str, target: str, relative: bool) -> list[str]:
+    """Files that an import may mean, best first: by root, then longest prefix, then module before package.
 
-    Candidates are ranked by root, then longest prefix, then module before package; only the best that exists counts.
     A relative target starts at the importing file's folder and may not be shortened to the folder itself, but to its package.
     """
+    rest = target.lstrip(".")
+    parts = [p for p in rest.split(".") if p]
+    bases = ROOTS
+    if relative:
+        folder = file.split("/")[:-1]
+        up = len(target) - len(rest) - 1
+        if up > len(folder):
+            return []
+        folder = folder[: len(folder) - up]
+        bases = ["/".join(folder) + "/" if folder else ""]
+    out: list[str] = []
+    for base in bases:
+        for n in range(len(parts), 0, -1):
+            stem = base + "/".join(parts[:n])
+            out += [f"{stem}.py", f"{stem}/__init__.py"]
+        if relative and not parts:
+            out.append(f"{base}__init__.py")
+    return out
+
+
+#: How imports are resolved, by language: (file, target, relative) to candidate files, best first.
+RESOLVERS: dict[str, Callable[[str, str, bool], list[str]]] = {"python": python_candidates}
+
+
+def resolved_imports(parsed: DataFrame, found: DataFrame, resolvers: dict[str, Callable] | None = None) -> DataFrame:
+    """(file, target_module, is_relative, alias, resolved): the first candidate file that exists, or null.
+
+    A file of a language without a resolver resolves nothing.
+    """
+    chosen = dict(RESOLVERS if resolvers is None else resolvers)
 
     @F.udf("array<struct<rank:int,path:string>>")
-    def candidates(file: str, target: str, relative: bool):  # noqa: ANN202
-        rest = target.lstrip(".")
-        parts = [p for p in rest.split(".") if p]
-        bases = ROOTS
-        if relative:
-            folder = file.split("/")[:-1]
-            up = len(target) - len(rest) - 1
-            if up > len(folder):
-                return []
-            folder = folder[: len(folder) - up]
-            bases = ["/".join(folder) + "/" if folder else ""]
-        out: list[str] = []
-        for base in bases:
-            for n in range(len(parts), 0, -1):
-                stem = base + "/".join(parts[:n])
-                out += [f"{stem}.py", f"{stem}/__init__.py"]
-            if relative and not parts:
-                out.append(f"{base}__init__.py")
-        return list(enumerate(out))
-
-    one = parsed.select("file", F.posexplode("imports").alias("ordinal", "i")).select("file", "ordinal", "i.*")
-    tried = one.select("*", F.explode_outer(candidates("file", "target_module", "is_relative")).alias("c"))
+    def candidates(file: str, language: str, target: str, relative: bool):  # noqa: ANN202
+        resolve = chosen.get(language)
+        return list(enumerate(resolve(file, target, relative))) if resolve else []
+
+    spoken = parsed.select("file", "imports").join(found.select(F.col("path").alias("file"), "language"), "file")
+    one = spoken.select("file", "language", F.posexplode("imports").alias("ordinal", "i")).select("file", "language", "ordinal", "i.*")
+    tried = one.select("*", F.explode_outer(candidates("file", "language", "target_module", "is_relative")).alias("c"))
     known = found.select(F.col("path").alias("known"))
     hit = tried.join(known, F.col("c.path") == F.col("known"), "left")
     best = F.min_by("known", F.when(F.col("known").isNotNull(), F.col("c.rank"))).alias("resolved")

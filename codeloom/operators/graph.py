@@ -235,6 +235,42 @@ class KnowledgeGraph:
     def all_nodes(self) -> DataFrame:
         return self.nodes.select("id")
 
+    def add_nodes(self, rows: DataFrame) -> KnowledgeGraph:
+        """The graph with rows (id, attributes) too; of an attribute the later value that isn't null holds."""
+        both = self.nodes.withColumn("seq", F.lit(0)).unionByName(rows.withColumn("seq", F.lit(1)), allowMissingColumns=True)
+        return KnowledgeGraph(merged_nodes(both), self.edges)
+
+    def add_node(self, node, **attributes) -> KnowledgeGraph:  # noqa: ANN001
+        columns = [F.lit(v).alias(k) for k, v in attributes.items()]
+        return self.add_nodes(self.nodes.sparkSession.range(1).select(F.lit(node).alias("id"), *columns))
+
+    def add_edges(self, rows: DataFrame) -> KnowledgeGraph:
+        """The graph with rows (src, dst, kind) too; ends that aren't nodes become nodes without attributes."""
+        edges = distinct_edges(self.edges.unionByName(rows.select("src", "dst", "kind")))
+        return KnowledgeGraph(self.nodes.unionByName(missing_endpoints(self.nodes, edges), allowMissingColumns=True), edges)
+
+    def add_edge(self, src, dst, kind: str) -> KnowledgeGraph:  # noqa: ANN001
+        return self.add_edges(self.nodes.sparkSession.range(1).select(F.lit(src).alias("src"), F.lit(dst).alias("dst"), F.lit(kind).alias("kind")))
+
+    def shortest_path(self, start, end, kind: str | None = None, max_depth: int = 20) -> list:  # noqa: ANN001
+        """Ids from start to end along a shortest path, of several the one that is least from its end; empty if none.
+
+        One search gives distances; then one row a step is read, max_depth at most.
+        """
+        self._needs(start)
+        if start == end:
+            return [start]
+        depth = cut_lineage(bfs(self.edges, start, max_depth, kind))
+        last = depth.where(F.col("id") == end).first()
+        if last is None:
+            return []
+        edges = self.edges if kind is None else self.edges.where(F.col("kind") == kind)
+        path = [end]
+        for level in range(last["depth"] - 1, 0, -1):
+            into = edges.where(F.col("dst") == path[0]).select(F.col("src").alias("id"))
+            path.insert(0, into.join(depth.where(F.col("depth") == level), "id").agg(F.min("id")).first()[0])
+        return [start, *path]
+
     def subgraph(self, ids: DataFrame) -> KnowledgeGraph:
         """The nodes named by ids (id) and the edges between them."""
         kept = ids.select("id").distinct()

@@ -331,3 +331,19 @@ def q33_line_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q34_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", patching.syntax_problem(F.lit("a.py"), F.col("text")).alias("problem"))
+
+
+@query()
+def q36_hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    provider = retrieval.HashedEmbedding(64)
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    return retrieval.HybridRetriever(docs, provider.embed(docs), provider).retrieve(asked, 10)
+
+
+@query(f"WITH {T_SQL} SELECT 'user::' || src AS id FROM t UNION SELECT 'user::' || dst FROM t UNION SELECT 'nation::' || n_nationkey FROM nation")
+def q37_graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation::"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    fresh = transitions(spark, sf_dir).select(F.concat(F.lit("user::"), "src").alias("src"), F.concat(F.lit("user::"), "dst").alias("dst"), F.lit("imports").alias("kind"))
+    none = fresh.where("false")
+    return graph.KnowledgeGraph(nodes, none).add_edges(fresh).all_nodes()

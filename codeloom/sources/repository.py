@@ -5,6 +5,7 @@ Spark's own file sources hide names that begin with `_` or `.`, which packages n
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -52,6 +53,7 @@ class RepositoryReader(DataSourceReader):
         self.root = os.path.realpath(os.path.expanduser(options["path"]))
         if not os.path.isdir(self.root):
             raise NotADirectoryError(self.root)
+        self.languages = SUFFIXES | json.loads(options.get("languages") or "{}")
         name = os.path.join(self.root, ".gitignore")
         self.rules = ignore_rules(open(name, errors="replace").read()) if os.path.isfile(name) else []
 
@@ -82,7 +84,7 @@ class RepositoryReader(DataSourceReader):
                 content = head + f.read() if not binary and size <= MOST_PARSED else None
         except OSError:
             return
-        language = "unknown" if binary else SUFFIXES.get(os.path.splitext(full)[1].lower(), "unknown")
+        language = "unknown" if binary else self.languages.get(os.path.splitext(full)[1].lower(), "unknown")
         yield path, language, size, binary, content
 
 

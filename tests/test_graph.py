@@ -66,3 +66,27 @@ def test_graph_interface(spark):
     assert rows(g.root_causes("c")) == [("a", 2), ("b", 1)]
     nodes, links = g.dump()
     assert [r.value for r in nodes.collect()] == ['{"id":"a"}', '{"id":"b"}', '{"id":"c"}'] and links.count() == 4
+
+
+def test_growing_a_graph(spark):
+    nodes = spark.createDataFrame([("a", "file", None), ("b", None, 3)], "id string, kind string, size int")
+    one = graph.KnowledgeGraph(nodes, edges(spark, [("a", "b")]))
+    two = one.add_node("a", size=7).add_node("c", colour="red").add_edge("b", "d", "calls").add_edge("b", "d", "calls").add_edge("a", "b", "imports")
+    assert rows(two.nodes.select("id", "kind", "size", "colour")) == [("a", "file", 7, None), ("b", None, 3, None), ("c", None, None, "red"), ("d", None, None, None)]
+    assert rows(two.edges) == [("a", "b", "imports"), ("b", "d", "calls")] and one.node_count() == 2
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shortest_path(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(f"n{rng.randrange(12):02}", f"n{rng.randrange(12):02}") for _ in range(18)]
+    names = sorted({x for p in pairs for x in p})
+    g = graph.KnowledgeGraph(spark.createDataFrame([(x,) for x in names], "id string"), edges(spark, pairs))
+    paths = {names[0]: [names[0]]}
+    front = [names[0]]
+    while front:  # brute force: distances
+        front = [b for a, b in pairs if a in front and b not in paths and not paths.update({b: paths[a] + [b]})]
+    for end in names[:5]:
+        got = g.shortest_path(names[0], end)
+        assert len(got) == len(paths.get(end, [])) and all(p in pairs for p in zip(got, got[1:]))
+        assert not got or (got[0], got[-1]) == (names[0], end)

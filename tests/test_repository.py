@@ -40,3 +40,21 @@ def test_graph_and_findings(analysed):
     assert finding.modules == ["pkg.a", "pkg.b"]
     with pytest.raises(analysis.DetectionError):
         analysis.scan(graph, ["no_such_rule"])
+
+
+def test_another_language(spark, tmp_path):
+    from codeloom.operators import analysis
+
+    (tmp_path / "one.toy").write_text("use two")
+    (tmp_path / "two.toy").write_text("")
+    found = analysis.files(spark, str(tmp_path), {".toy": "toy"})
+    assert {r["language"] for r in found.collect()} == {"toy"}
+
+    def toy(path, source):
+        return path, [], [(line.split()[1], False, None) for line in source.decode().splitlines()], [], [], []
+
+    parsed = analysis.parsed_files(found, {"toy": toy})
+    got = analysis.resolved_imports(parsed, found, {"toy": lambda file, target, relative: [f"{target}.toy"]}).collect()
+    assert [(r["file"], r["target_module"], r["resolved"]) for r in got] == [("one.toy", "two", "two.toy")]
+    assert [r["resolved"] for r in analysis.resolved_imports(parsed, found).collect()] == [None]
+    assert analysis.parsed_files(found).count() == 0
