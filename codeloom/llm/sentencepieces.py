@@ -25,7 +25,7 @@ from .common import slices
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose ids, and pairs whose admissibility, a worker remembers; when full, it starts again.
+#: Words whose ids, and pairs whose admissibility, a worker remembers.  Of words, the half not used lately is forgotten.
 REMEMBERED = 1_000_000
 UNKNOWN_PENALTY = 10.0
 #: The lengths of pieces to try are looked up by so many last characters.
@@ -42,7 +42,9 @@ class Vocabulary:
     bytes_: list[int]
     unknown: int
     unigram: bool = False
+    remembered: int = REMEMBERED
     words: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
     stable: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -74,7 +76,7 @@ class Vocabulary:
     def admissible(self, left: str, right: str) -> bool:
         known = self.stable.get((left, right))
         if known is None:
-            if len(self.stable) > REMEMBERED:
+            if len(self.stable) > self.remembered:
                 self.stable.clear()
             known = self.stable[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -126,10 +128,11 @@ class Vocabulary:
         cut = [self.pattern.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts]
         distinct = set().union(*cut)
         new = distinct - self.words.keys()
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = distinct
-        self.learn(sorted(new))
+        if len(self.words) + len(new) > self.remembered // 2:
+            self.older, self.words, new = self.words, {}, distinct
+        again = new & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self.learn(sorted(new - again))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, c)), np.int32) for c in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -164,14 +167,17 @@ def _is_unigram(sp) -> bool:  # noqa: ANN001
     return any(sp.get_score(k) % 1 for k in range(sp.vocab_size()))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) of each row; round_trip: decoding the ids gives the text back.
 
     A null or empty text has no ids and makes the round trip.  A text that has the mark character itself decodes
     to a blank in its place, so it doesn't.  Repeated rows give repeated results; other columns are not read; an
-    empty table gives an empty result.  The vocabulary, of fixed size, is broadcast.
+    empty table gives an empty result.  The vocabulary, of fixed size, is broadcast.  remembered bounds what a worker
+    keeps of words it has met; fewer take less memory and more time, with the same ids.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
+    given = vocabulary(model)
+    given.remembered = remembered
+    shared = docs.sparkSession.sparkContext.broadcast(given)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value

@@ -233,3 +233,12 @@ def test_analyse_of_slices_agrees():
     for k, t in enumerate(raw):
         one = textstats.analyse([t])
         assert (one.words[0], one.points[0], one.symbols[0]) == (whole.words[k], whole.points[k], whole.symbols[k]) and one.points[0] == len(t.decode())
+
+
+def test_few_words_remembered():
+    texts = ["one two three one", "two four two", "", "five one six seven", "one two three four five"]
+    want = [list(sentencepieces.vocabulary().encode([t])[0]) for t in texts]
+    for remembered in (0, 2, 6):
+        vocab = sentencepieces.vocabulary()
+        vocab.remembered = remembered
+        assert [list(vocab.encode([t])[0]) for t in texts * 2] == want * 2
