@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document."""
-    return sentencepieces.encoded(docs)
+    """The token ids of each document.  Fewer words are remembered, as executors hold what earlier stages left."""
+    return sentencepieces.encoded(docs, remembered=400_000)
 
 
 STAGES = [("quality rules", quality_rules), ("near-duplicates", near_duplicates), ("personal data", personal_data), ("mix of sources", mix), ("token ids", tokens)]
