@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 A mix is a number of blocks of BLOCK words.  Blocks are allotted to sources by highest quotients, then a source's
-blocks to its shards in the same way; in each shard a seed picks the blocks.  A shard's blocks are cut from its
-documents' words, in seeded order, so a block holds parts of one or several documents.
+blocks to its shards in the same way.  A shard's blocks are cut from its documents' words, in seeded order, and the
+first ones are used once more than the others, so all documents but one of a shard are taken a whole number of times.
 """
 
 from __future__ import annotations
@@ -114,21 +114,20 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repea
 
     words = placed.groupBy("sid", "shard").agg(F.max("end").alias("words"), F.max("seats").alias("seats"))
     quota = words.groupBy("sid").applyInPandas(quotas, "sid int, shard long, blocks long, quota long")
-    each = quota.select("sid", "shard", "blocks", "quota", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    rank = F.row_number().over(Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "sid", "shard", "block"), "block"))
-    times = each.select("sid", "shard", "block", (F.floor(F.col("quota") / F.col("blocks")) + (rank <= F.col("quota") % F.col("blocks")).cast("long")).alias("times"))
-    begin, end = F.col("end") - F.col("size"), F.col("end")
-    pieces = placed.select("row", "sid", "shard", begin.alias("begin"), "end", F.explode(F.sequence(F.floor(begin / block), F.floor((end - 1) / block))).alias("block"))
-    part = F.least("end", (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
-    # Blocks grow with the corpus, though Spark's estimate of an exploded sequence doesn't: no broadcast.
-    taken = pieces.join(times.hint("merge"), ["sid", "shard", "block"]).groupBy("row").agg(F.sum(part * F.col("times")).alias("taken"))
+    # Each block is used quota / blocks times, rounded down, and the first ones once more: as documents stand in seeded
+    # order, at most one of a shard is cut in two by that, and all others are taken a whole number of times.
+    begin, more = F.col("end") - F.col("size"), F.col("quota") % F.col("blocks") * block
+    again = F.least(F.greatest(more - begin, F.lit(0)), F.col("size"))
+    uses = F.floor(F.col("quota") / F.col("blocks"))
+    taken = placed.join(quota, ["sid", "shard"]).select("row", (F.col("size") * uses + again).alias("taken"))
     return known.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """docs with each document as often as the mix takes it: its taken words over its size, rounded half up.
 
-    Documents that agree in id and size are taken alike.  Documents without words are left out.  Columns of docs may
+    At most one document of a shard is rounded at all, so a source's words miss its target by at most half of a
+    document a shard, and the last block.  Documents that agree in id and size are taken alike.  Documents without words are left out.  Columns of docs may
     have any names.
     """
     mix = mixed(docs, **options).where("taken > 0").select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("uses"))
