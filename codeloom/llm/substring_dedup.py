@@ -1,10 +1,11 @@
 """Substring deduplication by paragraph MinHash banding.
 
 Paragraphs are cut by content, not by lines: a cut is made before a word whose hash, with the next word's, is the
-least within REACH words on both sides.  So a passage that stands in two documents is cut alike in both, but for its
+least within REACH words on both sides, or one of several least.  So a passage that stands in two documents is cut alike in both, but for its
 ends, whatever surrounds it.  Paragraphs that agree in a band of MinHashes of their word shingles meet; unequal ones
 are verified by exact Jaccard similarity of the shingles; components of links are clusters.  Of a cluster, the
-occurrence with the smallest document and place stays, and neighbouring repeats are joined to passages.
+occurrence with the smallest document and place stays, and neighbouring repeats are joined to passages, which are
+extended word by word at both ends as far as another occurrence agrees.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import components, forest, raw_texts, slices, stored
 from .wordhash import mix, pieces, prefix, words
 
-#: Words between two cuts: more than REACH.
-REACH = 8
+#: Words between two cuts: more than REACH, unless word pairs recur within it.
+REACH = 4
+#: Most words by which an end is extended.  A longer stretch has a cut of its own, as no cut for so long takes hashes
+#: that fall or rise nearly all the way.
+FLANK = 40
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Two bands of one MinHash each: at a similarity of 0.8, 96 % of pairs meet; equal paragraphs always do.
 BANDS, ROWS = 2, 1
@@ -50,8 +54,8 @@ def paragraphs(data: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, ...]:
     for k in range(1, REACH + 1):
         if n > k:
             near = doc[k:] == doc[:-k]
-            low[:-k] &= ~near | (pair[:-k] < pair[k:])
-            low[k:] &= ~near | (pair[k:] < pair[:-k])
+            low[:-k] &= ~near | (pair[:-k] <= pair[k:])
+            low[k:] &= ~near | (pair[k:] <= pair[:-k])
     low &= np.r_[False, same]
     cut = low | np.r_[True, ~same]
     first = np.flatnonzero(cut)
@@ -134,6 +138,83 @@ def _grams_of(wanted: str):
     return kernel
 
 
+def _flank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands before (side -1) or from (side 1) each asked word on: short hashes of words and where each ends."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            ids, at, side, hashes, points = [], [], [], [], []
+            for doc, text, asked in zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text")), part.column("asked").to_pylist()):
+                data = np.frombuffer(text + b"\n", np.uint8)
+                start, end = words(data)
+                if not len(start):
+                    continue
+                h = (pieces(prefix(data), start, end) >> np.uint64(32)).astype(np.uint32)
+                count = np.r_[0, np.cumsum((data & 0xC0) != 0x80)].astype(np.int32)
+                begin, stop = count[start], count[end]
+                for ask in asked:
+                    w = ask["at"]
+                    span = slice(max(0, w - FLANK), w) if ask["side"] < 0 else slice(w, w + FLANK)
+                    turn = -1 if ask["side"] < 0 else 1
+                    ids.append(doc)
+                    at.append(w)
+                    side.append(ask["side"])
+                    hashes.append(h[span][::turn].tobytes())
+                    points.append((begin if turn < 0 else stop)[span][::turn].tobytes())
+            if ids:
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(side, pa.int32()), pa.array(hashes, pa.binary()), pa.array(points, pa.binary())], names=["f_id", "f_at", "f_side", "hashes", "points"])
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By how many words an end may be extended, and the code points of those places, farthest last."""
+    for batch in batches:
+        more, places = [], []
+        for own, other, points in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "points"))):
+            n = min(len(own), len(other)) // 4
+            a, b = np.frombuffer(own, np.uint32, n), np.frombuffer(other, np.uint32, n)
+            differs = np.flatnonzero(a != b)
+            k = int(differs[0]) if len(differs) else n
+            more.append(k)
+            places.append(np.frombuffer(points, np.int32, k).tolist())
+        yield pa.record_batch([batch.column("doc_id"), batch.column("run"), batch.column("side"), pa.array(more, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["e_id", "e_run", "side", "more", "places"])
+
+
+def _extended(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """found with its runs extended at both ends by the words that their first and last paragraphs' partners share."""
+    # The partner's first and last occurrence are both tried, as text with a short period has many.
+    left = [F.struct(F.lit(-1).alias("side"), F.col("head.word").alias("at"), F.col(f"head.{w}.doc_id").alias("partner"), F.col(f"head.{w}.word").alias("there")) for w in ("one", "two")]
+    right = [F.struct(F.lit(1).alias("side"), (F.col("tail.word") + F.col("tail.n_words")).alias("at"), F.col(f"tail.{w}.doc_id").alias("partner"), (F.col(f"tail.{w}.word") + F.col(f"tail.{w}.n_words")).alias("there")) for w in ("one", "two")]
+    sides = found.select("doc_id", "run", F.inline(F.array_distinct(F.array(*left, *right))))
+    asked = sides.select("doc_id", "at", "side").union(sides.select("partner", "there", "side")).distinct()
+    asked = asked.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("at", "side")).alias("asked"))  # no more than two a paragraph
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(asked, F.col("doc_id") == F.col("asked_id"))
+    flanks = texts.select("doc_id", "text", "asked").mapInArrow(_flank_batches, "f_id long, f_at long, f_side int, hashes binary, points binary")
+    flanks = stored(flanks.dropDuplicates(["f_id", "f_at", "f_side"]), "flanks")
+    own = flanks.select("f_id", "f_at", "f_side", F.col("hashes").alias("own"), "points")
+    other = flanks.select(F.col("f_id").alias("o_id"), F.col("f_at").alias("o_at"), F.col("f_side").alias("o_side"), F.col("hashes").alias("other"))
+    met = sides.join(own, (F.col("doc_id") == F.col("f_id")) & (F.col("at") == F.col("f_at")) & (F.col("side") == F.col("f_side")))
+    met = met.join(other, (F.col("partner") == F.col("o_id")) & (F.col("there") == F.col("o_at")) & (F.col("side") == F.col("o_side")))
+    more = met.select("doc_id", "run", "side", "own", "other", "points").mapInArrow(_agreeing, "e_id long, e_run long, side int, more int, places array<int>")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("more", "places")))
+    more = more.groupBy("e_id", "e_run").agg(of(-1).alias("before"), of(1).alias("after"))
+    rows = found.join(more, (F.col("doc_id") == F.col("e_id")) & (F.col("run") == F.col("e_run")), "left")
+    # Two runs may reach for the same words between them: the earlier one has them.
+    order = Window.partitionBy("doc_id").orderBy("run")
+    rows = rows.withColumn("after_words", F.coalesce("after.more", F.lit(0)))
+    free = F.col("head.word") - F.coalesce(F.lag(F.col("tail.word") + F.col("tail.n_words") + F.col("after_words")).over(order), F.lit(0))
+    ahead = F.coalesce(F.lead("head.word").over(order) - F.col("tail.word") - F.col("tail.n_words"), F.lit(FLANK))
+    rows = rows.withColumn("after_words", F.least("after_words", F.greatest(ahead, F.lit(0)))).withColumn("free", F.greatest(free, F.lit(0)))
+    rows = rows.withColumn("before_words", F.least(F.coalesce("before.more", F.lit(0)), "free").cast("int"))
+    place = lambda c, n: F.try_element_at(f"{c}.places", F.greatest(n.cast("int"), F.lit(1))).cast("long")
+    rows = rows.withColumn("new_start", F.when(F.col("before_words") > 0, place("before", F.col("before_words"))).otherwise(F.col("start")))
+    rows = rows.withColumn("new_end", F.when(F.col("after_words") > 0, place("after", F.col("after_words"))).otherwise(F.col("end")))
+    gone_before = (F.col("before_words") > 0) & F.col("head.elsewhere")
+    gone_after = (F.col("after_words") > 0) & F.col("tail.elsewhere")
+    extra = F.array(F.when(gone_before, F.struct(F.col("new_start").alias("start"), F.col("start").alias("end"))), F.when(gone_after, F.struct(F.col("end").alias("start"), F.col("new_end").alias("end"))))
+    removed = F.sort_array(F.concat("removed", F.filter(extra, lambda x: x.isNotNull())))
+    words_gone = F.col("n_removed") + F.when(gone_before, F.col("before_words")).otherwise(0) + F.when(gone_after, F.col("after_words")).otherwise(0)
+    return rows.select("doc_id", F.col("new_start").alias("start"), F.col("new_end").alias("end"), (F.col("n_words") + F.col("before_words") + F.col("after_words")).alias("n_words"), words_gone.alias("n_removed"), "kept_doc_id", removed.alias("removed"))
+
+
 def _verified(similarity: float):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +246,8 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     Columns: doc_id, start, end (code points, end exclusive), n_words, n_removed (words of it in paragraphs whose
     kept occurrence is elsewhere), kept_doc_id (the smallest document that has one of its paragraphs), removed (a
     list of the (start, end) to delete).  A passage is a run of neighbouring paragraphs that repeat, of
-    passage_words words at least; it may stand a little inside of what repeats, as its ends are cut with their
-    surroundings.  A document without an id has no part in it; a null or empty text has no paragraphs.  Rows of
+    extended at both ends by the words that an occurrence in another document shares, of passage_words words at
+    least then.  A document without an id has no part in it; a null or empty text has no paragraphs.  Rows of
     one id count as one document.  Other columns are not read; an empty table gives an empty result.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
@@ -190,10 +271,17 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     places = members.select("doc_id", "word", "n_words", "start", "end", "h").distinct()
     classed = places.join(roots, places["h"] == roots["linked"], "left").select("doc_id", "word", "n_words", "start", "end", F.coalesce("root", "h").alias("cluster"))
     classed = stored(classed, "classed")
-    clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high"))
-    clusters = clusters.where("keep.doc_id < high").select(F.col("cluster").alias("known"), "keep")
+    place, back = F.struct("doc_id", "word", "n_words"), F.struct(F.bitwise_not("doc_id").alias("doc_id"), "word", "n_words")  # back: documents in falling order
+    clusters = classed.groupBy("cluster").agg(F.min(place).alias("keep"), F.max(back).alias("keep_last"), F.min(back).alias("high_first"), F.max(place).alias("high"))
+    for c in ("keep_last", "high_first"):
+        clusters = clusters.withColumn(c, F.col(c).withField("doc_id", F.bitwise_not(F.col(f"{c}.doc_id"))))
+    clusters = clusters.where("keep.doc_id < high.doc_id").select(F.col("cluster").alias("known"), "keep", "keep_last", "high_first", "high")
     again = classed.join(clusters, classed["cluster"] == clusters["known"])
-    again = again.withColumn("goes", F.struct("doc_id", "word") != F.col("keep"))
+    again = again.withColumn("goes", F.struct("doc_id", "word") != F.struct("keep.doc_id", "keep.word"))
+    # An end is compared with the document that has the kept occurrence, or that one's with the last document.
+    again = again.withColumn("elsewhere", F.col("doc_id") != F.col("keep.doc_id"))
+    one, two = (F.when(F.col("elsewhere"), F.col(a)).otherwise(F.col(b)) for a, b in (("keep", "high_first"), ("keep_last", "high")))
+    ends = F.struct("word", "n_words", one.alias("one"), two.alias("two"), "elsewhere")
     order = Window.partitionBy("doc_id").orderBy("word", "n_words")
     begins = (F.col("word") != F.coalesce(F.lag(F.col("word") + F.col("n_words")).over(order), F.lit(-1))).cast("long")
     runs = again.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
@@ -201,8 +289,9 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     found = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sum(F.when(F.col("goes"), F.col("n_words")).otherwise(0)).alias("n_removed"),
         F.min("keep.doc_id").alias("kept_doc_id"), F.sort_array(F.collect_list(gone)).alias("removed"),
+        F.min(ends).alias("head"), F.max(ends).alias("tail"),
     )
-    return found.where(F.col("n_words") >= passage_words).drop("run")
+    return _extended(stored(found, "runs"), docs).where(F.col("n_words") >= passage_words)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
