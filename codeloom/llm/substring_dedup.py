@@ -28,6 +28,8 @@ FLANK = 40
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: Two bands of one MinHash each: at a similarity of 0.8, 96 % of pairs meet; equal paragraphs always do.
 BANDS, ROWS = 2, 1
+#: Shingles of which a set that differs shares less than SIMILARITY: 3 of 4 are 0.75.  A `similarity` of 0.75 or less needs a smaller FEW.
+FEW = 3
 #: Least words of a passage that repeats.
 PASSAGE_WORDS = 20
 #: Most paragraphs compared with each other at once; a fuller bucket is dealt to more tiles, all pairs of which meet.
@@ -75,16 +77,27 @@ def paragraphs(data: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], first, last, mix(total + size.astype(np.uint64)), gram[whole], owner[whole], start, end
 
 
-def keys_of(gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """paragraphs x BANDS: a hash of the band's number and its MinHashes."""
+def keys_of(gram: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys of each paragraph): hashes of the band's number and its MinHashes, BANDS a paragraph.
+
+    Of at most FEW shingles no other set but an equal one is alike enough, so these have one key, for equal sets.
+    """
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    few = np.diff(np.r_[starts, len(owner)]) <= FEW
     out = []
     for band in range(BANDS):
         key = np.full(len(starts), band + 1, np.uint64)
         for row in range(ROWS):
-            key = mix(key + np.minimum.reduceat(mix(gram ^ mix(np.uint64(1000 + band * ROWS + row).reshape(1))), starts))
+            hashed = mix(gram ^ mix(np.uint64(1000 + band * ROWS + row).reshape(1)))
+            key = mix(key + np.minimum.reduceat(hashed, starts))
+            if not band and not row:
+                equal = mix(mix(np.minimum.reduceat(hashed, starts)) + np.maximum.reduceat(hashed, starts))
         out.append(key)
-    return np.stack(out, axis=1)
+    keys = np.stack(out, axis=1)
+    keys[few, 0] = equal[few]
+    used = np.ones(keys.shape, bool)
+    used[few, 1:] = False
+    return keys[used], used.sum(axis=1)
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +112,11 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
             base = np.r_[0, points[np.cumsum(size) - 1]][doc]
             first_of_doc = np.searchsorted(doc, doc)
+            keys, count = keys_of(gram, owner)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys.view(np.int64)))
             columns = [
                 part.column("doc_id").take(pa.array(doc)), pa.array(first - first[first_of_doc]), pa.array(last - first), pa.array(points[start[first]] - 1 - base), pa.array(points[end[last - 1] - 1] - base),
-                pa.array(h.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(keys_of(gram, owner).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
+                pa.array(h.view(np.int64)), lists,
             ]
             yield pa.record_batch(columns, names=CUT_NAMES)
 
