@@ -292,12 +292,15 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
         clusters = clusters.withColumn(c, F.col(c).withField("doc_id", F.bitwise_not(F.col(f"{c}.doc_id"))))
     clusters = clusters.where("keep.doc_id < high.doc_id").select(F.col("cluster").alias("known"), "keep", "keep_last", "high_first", "high")
     again = classed.join(clusters, classed["cluster"] == clusters["known"])
-    again = again.withColumn("goes", F.struct("doc_id", "word") != F.struct("keep.doc_id", "keep.word"))
+    # In the document that has the kept occurrence, a short line said again and again stays whole.
+    order = Window.partitionBy("doc_id").orderBy("word", "n_words")
+    goes_on = (F.lag("cluster").over(order) == F.col("cluster")) & (F.lag(F.col("word") + F.col("n_words")).over(order) == F.col("word"))
+    stays = (F.col("doc_id") == F.col("keep.doc_id")) & ((F.col("word") == F.col("keep.word")) | F.coalesce(goes_on, F.lit(False)))
+    again = again.withColumn("goes", ~stays)
     # An end is compared with the document that has the kept occurrence, or that one's with the last document.
     again = again.withColumn("elsewhere", F.col("doc_id") != F.col("keep.doc_id"))
     one, two = (F.when(F.col("elsewhere"), F.col(a)).otherwise(F.col(b)) for a, b in (("keep", "high_first"), ("keep_last", "high")))
     ends = F.struct("word", "n_words", one.alias("one"), two.alias("two"), "elsewhere")
-    order = Window.partitionBy("doc_id").orderBy("word", "n_words")
     begins = (F.col("word") != F.coalesce(F.lag(F.col("word") + F.col("n_words")).over(order), F.lit(-1))).cast("long")
     runs = again.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
     gone = F.when(F.col("goes"), F.struct("start", "end"))
