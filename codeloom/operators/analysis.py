@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parse import PARSED, PARSERS, module_name
+from ..functions.parse import PARSED, PARSERS, parser_for
 from ..sources.repository import RepositorySource
 from .graph import KnowledgeGraph, distinct_edges, merged_nodes, missing_endpoints
 from .rules import DetectionError, scan  # noqa: F401
 
 ROOTS = ["", "src/", "lib/", "app/"]
+#: From an import's file, target and whether it is relative, to an array of candidate files, best first.
+Resolver = Callable[[Column, Column, Column], Column]
 
 
 def files(spark: SparkSession, path: str, languages: dict[str, str] | None = None) -> DataFrame:
@@ -25,7 +28,7 @@ def files(spark: SparkSession, path: str, languages: dict[str, str] | None = Non
 
 def parsed_files(found: DataFrame, parsers: dict[str, Callable] | None = None) -> DataFrame:
     """A row for each file of a language that has a parser; parsers are by language, all registered ones if not given."""
-    chosen = dict(PARSERS if parsers is None else parsers)
+    chosen = {x: parser_for(x) for x in PARSERS} if parsers is None else dict(parsers)
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -36,74 +39,100 @@ def parsed_files(found: DataFrame, parsers: dict[str, Callable] | None = None) -
     return readable.select("language", "path", "content").mapInPandas(kernel, PARSED)
 
 
-def python_candidates(file: str, target: str, relative: bool) -> list[str]:
+def module_of(path: Column) -> Column:
+    """The dotted module name of a file's path; null stays null."""
+    parts = F.split(F.regexp_replace(path, r"\.[^./]+$", ""), "/")
+    package = (F.element_at(parts, -1) == "__init__") & (F.size(parts) > 1)
+    return F.array_join(F.when(package, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), ".")
+
+
+def python_candidates(file: Column, target: Column, relative: Column) -> Column:
     """Files that an import may mean, best first: by root, then longest prefix, then module before package.
 
-    A relative target starts at the importing file's folder and may not be shortened to the folder itself, but to its package.
+    A relative target starts at the importing file's folder, one further up for each dot after the first, and may not
+    be shortened to the folder itself; a target of dots alone is the folder's package.  Above the tree there is nothing.
     """
-    rest = target.lstrip(".")
-    parts = [p for p in rest.split(".") if p]
-    bases = ROOTS
-    if relative:
-        folder = file.split("/")[:-1]
-        up = len(target) - len(rest) - 1
-        if up > len(folder):
-            return []
-        folder = folder[: len(folder) - up]
-        bases = ["/".join(folder) + "/" if folder else ""]
-    out: list[str] = []
-    for base in bases:
-        for n in range(len(parts), 0, -1):
-            stem = base + "/".join(parts[:n])
-            out += [f"{stem}.py", f"{stem}/__init__.py"]
-        if relative and not parts:
-            out.append(f"{base}__init__.py")
-    return out
-
-
-#: How imports are resolved, by language: (file, target, relative) to candidate files, best first.
-RESOLVERS: dict[str, Callable[[str, str, bool], list[str]]] = {"python": python_candidates}
-
-
-def resolved_imports(parsed: DataFrame, found: DataFrame, resolvers: dict[str, Callable] | None = None) -> DataFrame:
-    """(file, target_module, is_relative, alias, resolved): the first candidate file that exists, or null.
-
-    A file of a language without a resolver resolves nothing.
+    rest = F.ltrim(target, F.lit("."))
+    parts = F.filter(F.split(rest, r"\."), lambda x: x != "")
+    folder = F.split(file, "/")
+    depth = F.size(folder) - 1 - F.when(relative, F.length(target) - F.length(rest) - 1).otherwise(0)
+    near = F.array_join(F.transform(F.slice(folder, F.lit(1), F.greatest(depth, F.lit(0))), lambda x: F.concat(x, F.lit("/"))), "")
+    bases = F.when(relative, F.when(depth >= 0, F.array(near)).otherwise(F.array().cast("array<string>"))).otherwise(F.array(*map(F.lit, ROOTS)))
+    lengths = F.when(F.size(parts) > 0, F.sequence(F.size(parts), F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    stems = F.flatten(F.transform(bases, lambda b: F.transform(lengths, lambda n: F.concat(b, F.array_join(F.slice(parts, F.lit(1), n), "/")))))
+    found = F.flatten(F.transform(stems, lambda s: F.array(F.concat(s, F.lit(".py")), F.concat(s, F.lit("/__init__.py")))))
+    own = F.when(relative & (F.size(parts) == 0), F.transform(bases, lambda b: F.concat(b, F.lit("__init__.py"))))
+    return F.coalesce(own, found)
+
+
+def per_row(resolve: Callable[[str, str, bool], list[str]]) -> Resolver:
+    """A resolver from a Python function of one import, for rules that columns can't express."""
+    return F.udf(resolve, "array<string>")
+
+
+#: How imports are resolved, by language.
+RESOLVERS: dict[str, Resolver] = {"python": python_candidates}
+
+
+def first_known(tried: DataFrame, known: DataFrame, key: list[str], rank: str = "rank", name: str = "candidate") -> DataFrame:
+    """(key, resolved) of candidates (key, rank, candidate): the candidate of least rank that is among known, or null."""
+    there = known.select(F.col(known.columns[0]).alias("known")).distinct()
+    hit = tried.join(there, tried[name] == there["known"], "left")
+    return hit.groupBy(*key).agg(F.min_by("known", F.when(F.col("known").isNotNull(), F.col(rank))).alias("resolved"))
+
+
+def resolved_imports(parsed: DataFrame, found: DataFrame, resolvers: dict[str, Resolver] | None = None) -> DataFrame:
+    """(file, ordinal, target_module, is_relative, alias, resolved): the first candidate file that exists, or null.
+
+    A file of a language without a resolver has no rows: nothing is known of its imports.
     """
     chosen = dict(RESOLVERS if resolvers is None else resolvers)
+    spoken = parsed.select("file", "imports").join(found.select(F.col("path").alias("file"), "language").where(F.col("language").isin(list(chosen))), "file")
+    one = spoken.select("file", "language", F.posexplode("imports").alias("ordinal", "i")).select("file", "language", "ordinal", "i.*")
+    ways = [(F.col("language") == x, resolve(F.col("file"), F.col("target_module"), F.col("is_relative"))) for x, resolve in chosen.items()]
+    if not ways:
+        return one.drop("language").withColumn("resolved", F.lit(None).cast("string"))
+    candidates = reduce(lambda so_far, way: so_far.when(*way), ways[1:], F.when(*ways[0]))
+    tried = one.select("*", F.posexplode_outer(candidates).alias("rank", "candidate"))
+    return first_known(tried, found.select("path"), ["file", "ordinal", "target_module", "is_relative", "alias"])
 
-    @F.udf("array<struct<rank:int,path:string>>")
-    def candidates(file: str, language: str, target: str, relative: bool):  # noqa: ANN202
-        resolve = chosen.get(language)
-        return list(enumerate(resolve(file, target, relative))) if resolve else []
 
-    spoken = parsed.select("file", "imports").join(found.select(F.col("path").alias("file"), "language"), "file")
-    one = spoken.select("file", "language", F.posexplode("imports").alias("ordinal", "i")).select("file", "language", "ordinal", "i.*")
-    tried = one.select("*", F.explode_outer(candidates("file", "language", "target_module", "is_relative")).alias("c"))
-    known = found.select(F.col("path").alias("known"))
-    hit = tried.join(known, F.col("c.path") == F.col("known"), "left")
-    best = F.min_by("known", F.when(F.col("known").isNotNull(), F.col("c.rank"))).alias("resolved")
-    return hit.groupBy("file", "ordinal", "target_module", "is_relative", "alias").agg(best)
-
-
-def graph_of(found: DataFrame, parsed: DataFrame) -> KnowledgeGraph:
-    """Nodes of files, symbols and modules, merged by id with the last value of each attribute; contains and imports edges."""
-    name = F.udf(module_name, "string")
-    text = lambda x: F.lit(x).cast("string")
-    file_nodes = found.select(F.concat(F.lit("file::"), "path").alias("id"), F.lit("file").alias("kind"), text(None).alias("qualified_name"), F.col("path").alias("file"), F.lit(False).alias("external"), F.lit(0).alias("seq"))
-    symbols = parsed.select("file", F.posexplode("symbols").alias("ordinal", "s")).select("file", "ordinal", "s.*")
+def containment(symbols: DataFrame) -> DataFrame:
+    """(src, dst, kind) from symbols (file, ordinal, kind, qualified_name, parent): what holds each symbol.
+
+    A module, or a symbol without a parent, is held by its file; another by the file's last symbol of its parent's
+    name.  An orphan, whose parent the file doesn't have, is held by the module of that name, if any file has it.
+    """
     own = F.concat_ws("::", "kind", "qualified_name")
-    symbol_nodes = symbols.select(own.alias("id"), "kind", "qualified_name", "file", F.lit(False).alias("external"), (F.col("ordinal") + 1).alias("seq"))
-    imports = resolved_imports(parsed, found)
-    target = F.when(F.col("resolved").isNotNull(), name("resolved")).otherwise(F.when(F.col("target_module") == "", "<unknown>").otherwise(F.col("target_module")))
-    linked = imports.select(F.concat(F.lit("module::"), name("file")).alias("src"), F.concat(F.lit("module::"), target).alias("dst"), "resolved", target.alias("name"))
-    module_nodes = linked.select(F.col("dst").alias("id"), F.lit("module").alias("kind"), F.col("name").alias("qualified_name"), F.col("resolved").alias("file"), F.col("resolved").isNull().alias("external"), F.lit(-1).alias("seq"))
+    top = F.col("parent").isNull() | (F.col("kind") == "module")
+    outer = symbols.where(top).select(F.concat(F.lit("file::"), "file").alias("src"), own.alias("dst"))
     parents = symbols.groupBy("file", F.col("qualified_name").alias("parent")).agg(F.max_by("kind", "ordinal").alias("parent_kind"))
-    inner = symbols.where("kind <> 'module'").join(parents, ["file", "parent"]).select(F.concat_ws("::", "parent_kind", "parent").alias("src"), own.alias("dst"))
-    outer = symbols.where("kind = 'module'").select(F.concat(F.lit("file::"), "file").alias("src"), own.alias("dst"))
-    edges = inner.union(outer).withColumn("kind", F.lit("contains")).unionByName(linked.select("src", "dst", F.lit("imports").alias("kind")))
-    edges = distinct_edges(edges)
-    nodes = merged_nodes(file_nodes.unionByName(symbol_nodes).unionByName(module_nodes))
+    met = symbols.where(~top).select("file", "parent", own.alias("dst")).join(parents, ["file", "parent"], "left")
+    inner = met.where("parent_kind is not null").select(F.concat_ws("::", "parent_kind", "parent").alias("src"), "dst")
+    modules = symbols.where("kind = 'module'").select(F.col("qualified_name").alias("parent")).distinct()
+    orphans = met.where("parent_kind is null").join(modules, "parent", "left_semi").select(F.concat(F.lit("module::"), "parent").alias("src"), "dst")
+    return outer.union(inner).union(orphans).withColumn("kind", F.lit("contains")).distinct()
+
+
+def graph_of(found: DataFrame, parsed: DataFrame, resolvers: dict[str, Resolver] | None = None) -> KnowledgeGraph:
+    """Nodes of files, symbols and modules, merged by id with the last value of each attribute; contains and imports edges.
+
+    Files have path, language and size_bytes, symbols name, qualified_name, file, start_line and end_line; modules that
+    are imported and not found are external, as are the edges to them.
+    """
+    symbols = parsed.select("file", F.posexplode("symbols").alias("ordinal", "s")).select("file", "ordinal", "s.*")
+    file_nodes = found.select(F.concat(F.lit("file::"), "path").alias("id"), F.lit("file").alias("kind"), "path", F.col("path").alias("file"), "language", "size_bytes", F.lit(False).alias("external"), F.lit(0).alias("seq"))
+    symbol_nodes = symbols.select(F.concat_ws("::", "kind", "qualified_name").alias("id"), "kind", "name", "qualified_name", "file", "start_line", "end_line", F.lit(False).alias("external"), (F.col("ordinal") + 1).alias("seq"))
+    target = F.when(F.col("resolved").isNotNull(), module_of(F.col("resolved"))).otherwise(F.when(F.col("target_module") == "", "<unknown>").otherwise(F.col("target_module")))
+    linked = resolved_imports(parsed, found, resolvers).select("file", "ordinal", "resolved", module_of(F.col("file")).alias("importer"), target.alias("imported"))
+    module = lambda name, file, external: linked.select(F.concat(F.lit("module::"), name).alias("id"), F.lit("module").alias("kind"), F.col(name).alias("qualified_name"), F.col(file).alias("file"), external.alias("external"), F.lit(-1).alias("seq"))
+    imported, importer = module("imported", "resolved", F.col("resolved").isNull()), module("importer", "file", F.lit(False)).withColumn("seq", F.lit(0))
+    edges = linked.select(F.concat(F.lit("module::"), "importer").alias("src"), F.concat(F.lit("module::"), "imported").alias("dst"), F.lit("imports").alias("kind"), F.col("resolved").isNull().alias("external"), F.col("ordinal").alias("seq"))
+    edges = distinct_edges(containment(symbols).unionByName(edges, allowMissingColumns=True))
+    every = symbol_nodes
+    for more in (file_nodes, imported, importer):
+        every = every.unionByName(more, allowMissingColumns=True)
+    nodes = merged_nodes(every)
     return KnowledgeGraph(nodes.unionByName(missing_endpoints(nodes, edges), allowMissingColumns=True), edges)
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..errors import NodeNotFoundError
+from ..errors import GraphError, NodeNotFoundError
 
 
 #: Edges that one task searches alone: about 200 MB of Python objects.
@@ -22,7 +22,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the cluster shares; a purely local session may use a temporary one."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/codeloom-{uuid.uuid4().hex}")
     return df.checkpoint()
@@ -35,8 +35,12 @@ def merged_nodes(rows: DataFrame, key: str = "id", order: str = "seq") -> DataFr
 
 
 def distinct_edges(rows: DataFrame) -> DataFrame:
-    """One edge for each (src, dst, kind)."""
-    return rows.select("src", "dst", "kind").distinct()
+    """One edge for each (src, dst, kind); of further columns the last value by `seq` that isn't null, without seq the largest."""
+    others = [c for c in rows.columns if c not in ("src", "dst", "kind", "seq")]
+    if not others:
+        return rows.select("src", "dst", "kind").distinct()
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.coalesce("seq", F.lit(0)))) if "seq" in rows.columns else F.max(c)
+    return rows.groupBy("src", "dst", "kind").agg(*[last(c).alias(c) for c in others])
 
 
 def missing_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -195,9 +199,11 @@ def components_by_joins(pairs: DataFrame) -> DataFrame:
 
 
 class KnowledgeGraph:
-    """nodes: at least (id); edges: (src, dst, kind)."""
+    """nodes: at least (id); edges: at least (src, dst, kind)."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
+        if missing := ({"id"} - set(nodes.columns)) | ({"src", "dst", "kind"} - set(edges.columns)):
+            raise GraphError(f"columns are missing: {', '.join(sorted(missing))}")
         self.nodes, self.edges = nodes, edges
 
     def _needs(self, node) -> None:  # noqa: ANN001
@@ -246,11 +252,13 @@ class KnowledgeGraph:
 
     def add_edges(self, rows: DataFrame) -> KnowledgeGraph:
         """The graph with rows (src, dst, kind) too; ends that aren't nodes become nodes without attributes."""
-        edges = distinct_edges(self.edges.unionByName(rows.select("src", "dst", "kind")))
+        both = self.edges.withColumn("seq", F.lit(0)).unionByName(rows.withColumn("seq", F.lit(1)), allowMissingColumns=True)
+        edges = distinct_edges(both)
         return KnowledgeGraph(self.nodes.unionByName(missing_endpoints(self.nodes, edges), allowMissingColumns=True), edges)
 
-    def add_edge(self, src, dst, kind: str) -> KnowledgeGraph:  # noqa: ANN001
-        return self.add_edges(self.nodes.sparkSession.range(1).select(F.lit(src).alias("src"), F.lit(dst).alias("dst"), F.lit(kind).alias("kind")))
+    def add_edge(self, src, dst, kind: str, **attributes) -> KnowledgeGraph:  # noqa: ANN001
+        columns = [F.lit(v).alias(k) for k, v in {"src": src, "dst": dst, "kind": kind, **attributes}.items()]
+        return self.add_edges(self.nodes.sparkSession.range(1).select(*columns))
 
     def shortest_path(self, start, end, kind: str | None = None, max_depth: int = 20) -> list:  # noqa: ANN001
         """Ids from start to end along a shortest path, of several the one that is least from its end; empty if none.

@@ -131,6 +131,7 @@ class RuleRegistry:
             except Exception as e:  # noqa: BLE001
                 _log.warning("rule %s failed: %s", name, e)
                 continue
+            _log.info("rule %s: %d findings", name, rows.count())  # counts rows that are written already
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out
 

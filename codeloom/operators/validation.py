@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import cut_lineage
+from ..errors import ValidationError
+from .graph import cut_lineage, kept_until_failure
 from .patching import syntax_problem
 
 #: edits (patch_id, path, content, is_deletion) to (patch_id, verdict, summary); a patch without a row passes.
@@ -36,13 +37,25 @@ def validated(edits: DataFrame, validators: Sequence[tuple[str, Validator]]) ->
     every, results = alive, edits.sparkSession.createDataFrame([], f"patch_id {edits.schema['patch_id'].dataType.simpleString()}, ordinal int, validator string, verdict string, summary string")
     for ordinal, (name, validator) in enumerate(validators):
         try:
-            told = validator(edits.join(alive, "patch_id", "left_semi")).select("patch_id", "verdict", "summary")
+            told = validator(edits.join(alive, "patch_id", "left_semi"))
+            if missing := {"patch_id", "verdict", "summary"} - set(told.columns):
+                raise ValidationError(f"{name} gives no {', '.join(sorted(missing))}")
+            told = told.select("patch_id", "verdict", "summary")
             rows = alive.join(told, "patch_id", "left").select("patch_id", F.coalesce("verdict", F.lit("PASS")).alias("verdict"), "summary")
             rows = cut_lineage(rows)
         except Exception as e:  # noqa: BLE001
             rows = cut_lineage(alive.select("patch_id", F.lit("ERROR").alias("verdict"), F.lit(f"validator crashed: {e}").alias("summary")))
         results = results.unionByName(rows.select("patch_id", F.lit(ordinal).alias("ordinal"), F.lit(name).alias("validator"), "verdict", "summary"))
         alive = cut_lineage(rows.where(~F.col("verdict").isin("FAIL", "ERROR")).select("patch_id"))
-    worst = F.when(F.bool_or(F.col("verdict").isin("FAIL", "ERROR")), "FAIL").when(F.bool_or(F.col("verdict") == "WARN"), "WARN").otherwise("PASS")
-    reports = every.join(results, "patch_id", "left").groupBy("patch_id").agg(worst.alias("overall"))
+    reports = every.join(rollup(results), "patch_id", "left").select("patch_id", F.coalesce("overall", F.lit("PASS")).alias("overall"))
     return results, reports
+
+
+def rollup(results: DataFrame, group: str = "patch_id", order: Sequence[str] = ("ordinal",)) -> DataFrame:
+    """(group, kept, overall) of results already known: those up to the first FAIL or ERROR count, and the worst rules.
+
+    One shuffle, by group; for results that come from elsewhere and may go on after a failure.
+    """
+    kept = kept_until_failure(results, group, list(order))
+    worst = F.when(F.bool_or(F.col("verdict").isin("FAIL", "ERROR")), "FAIL").when(F.bool_or(F.col("verdict") == "WARN"), "WARN").otherwise("PASS")
+    return kept.groupBy(group).agg(F.count("*").alias("kept"), worst.alias("overall"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import os
 from collections.abc import Iterator
@@ -155,14 +156,6 @@ def suffix_counts(spark: SparkSession, root: str) -> DataFrame:
     return known.groupBy("suffix").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "suffix")
 
 
-def head(path: Path) -> str:
-    try:
-        with path.open("rb") as f:
-            return f.read(HEAD_BYTES).decode("utf-8", "replace")
-    except OSError:
-        return ""
-
-
 def detect(spark: SparkSession, root: str) -> Ecosystem:
     """Languages by manifest, then by frequency; nothing for a missing folder."""
     at = Path(root)
@@ -171,7 +164,9 @@ def detect(spark: SparkSession, root: str) -> Ecosystem:
     has = lambda name: (at / name).exists()
     unique = lambda names: tuple(dict.fromkeys(names))
     manifests = [v for name, v in MANIFESTS.items() if has(name)]
-    project = head(at / "pyproject.toml")
+    project = ""
+    with contextlib.suppress(OSError), (at / "pyproject.toml").open("rb") as f:
+        project = f.read(HEAD_BYTES).decode("utf-8", "replace")
     builds = [b for _, b in manifests]
     builds += ["poetry"] * ("[tool.poetry]" in project) + ["uv"] * (has("pyproject.toml") and ("[tool.uv]" in project or has("uv.lock")))
     manager = "pnpm" if has("pnpm-lock.yaml") else "yarn" if has("yarn.lock") else "npm"

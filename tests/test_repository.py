@@ -1,6 +1,7 @@
 """A small source tree from scan to findings."""
 
 import pytest
+from pyspark.sql import functions as F
 from codeloom.operators import analysis
 
 TREE = {
@@ -54,7 +55,9 @@ def test_another_language(spark, tmp_path):
         return path, [], [(line.split()[1], False, None) for line in source.decode().splitlines()], [], [], []
 
     parsed = analysis.parsed_files(found, {"toy": toy})
-    got = analysis.resolved_imports(parsed, found, {"toy": lambda file, target, relative: [f"{target}.toy"]}).collect()
+    got = analysis.resolved_imports(parsed, found, {"toy": analysis.per_row(lambda file, target, relative: [f"{target}.toy"])}).collect()
     assert [(r["file"], r["target_module"], r["resolved"]) for r in got] == [("one.toy", "two", "two.toy")]
-    assert [r["resolved"] for r in analysis.resolved_imports(parsed, found).collect()] == [None]
+    assert analysis.resolved_imports(parsed, found).count() == 0
+    graph = analysis.graph_of(found, parsed, {"toy": lambda file, target, relative: F.array(F.concat(target, F.lit(".toy")))})
+    assert [(r.src, r.dst, r.external) for r in graph.edges.where("kind = 'imports'").collect()] == [("module::one", "module::two", False)]
     assert analysis.parsed_files(found).count() == 0
