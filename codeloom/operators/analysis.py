@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import PARSED, PARSERS, parser_for
-from ..sources.repository import RepositorySource
+from ..sources.repository import RepositorySource, file_refs
 from .graph import KnowledgeGraph, distinct_edges, merged_nodes, missing_endpoints
 from .rules import DetectionError, scan  # noqa: F401
 
@@ -23,7 +22,7 @@ Resolver = Callable[[Column, Column, Column], Column]
 def files(spark: SparkSession, path: str, languages: dict[str, str] | None = None) -> DataFrame:
     """The files of a tree; languages are those of further suffixes, such as {".foo": "foo"}."""
     spark.dataSource.register(RepositorySource)
-    return spark.read.format("code_repository").option("languages", json.dumps(languages or {})).load(path)
+    return file_refs(spark.read.format("code_repository").load(path), languages)
 
 
 def parsed_files(found: DataFrame, parsers: dict[str, Callable] | None = None) -> DataFrame:

@@ -15,7 +15,18 @@ ISSUE = "number string, title string, body string, labels array<string>, url str
 def issues(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """(source, number, title, body, labels, url, metadata, broken); missing keys have defaults, a file's metadata go before repo."""
     read = spark.read.schema(ISSUE).option("multiLine", True).option("columnNameOfCorruptRecord", "_broken").json(root, pathGlobFilter="*.json")
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    return normalised(read.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("stem")), repo)
+
+
+def read_lines(lines: DataFrame, repo: str) -> DataFrame:
+    """What `issues` gives, from (stem, value): one JSON object a row."""
+    parsed = F.from_json("value", ISSUE, {"columnNameOfCorruptRecord": "_broken"})
+    return normalised(lines.select("stem", parsed.alias("i")).select("stem", "i.*"), repo)
+
+
+def normalised(read: DataFrame, repo: str) -> DataFrame:
+    """Rows of ISSUE and stem, the number that stands for a missing one, with the defaults of missing keys."""
+    stem = F.col("stem")
     own = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     given = F.map_filter(F.create_map(F.lit("repo"), F.lit(repo)), lambda k, v: ~F.map_contains_key(own, "repo"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)

@@ -5,11 +5,12 @@ Spark's own file sources hide names that begin with `_` or `.`, which packages n
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import UnsupportedRepositoryError
@@ -18,7 +19,7 @@ from .ecosystem import SUFFIXES
 #: Directories that are never entered.
 SKIPPED = {".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", "target", ".idea", ".vscode", ".next", ".cache", "coverage", ".eggs", ".gradle"}
 PROBE, MOST_PARSED = 8192, 2 * 1024 * 1024
-SCHEMA = "path string, language string, size_bytes bigint, is_binary boolean, content binary, ordinal bigint"
+SCHEMA = "path string, size_bytes bigint, head binary, content binary, ordinal bigint"
 #: Folders that one task reads, and files that a folder's numbers leave room for.
 FOLDERS, ROOM = 16, 1 << 32
 SPECIAL = {"*": "[^/]*", "?": "[^/]"}
@@ -78,6 +79,23 @@ def ignored(rules: list, path: str, is_dir: bool) -> bool:
     return out
 
 
+def file_refs(rows: DataFrame, languages: dict[str, str] | None = None) -> DataFrame:
+    """rows (path, size_bytes, head, content, ...) with language and is_binary in place of head.
+
+    A NUL in the head makes a file binary, and a binary file's language unknown; so is that of a suffix that stands
+    for none.  A binary file, and one of more than MOST_PARSED bytes, has no content.  Other columns stay.
+    """
+    known = SUFFIXES | (languages or {})
+    suffix = F.lower(F.regexp_extract("path", r"[^/.][^/]*(\.[^./]*)$", 1))
+    binary = F.coalesce(F.contains("head", F.lit(b"\0")), F.lit(False))
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    others = [c for c in rows.columns if c not in ("path", "size_bytes", "head", "content")]
+    return rows.select(
+        "path", F.when(binary, "unknown").otherwise(F.coalesce(F.try_element_at(table, suffix), F.lit("unknown"))).alias("language"), "size_bytes", binary.alias("is_binary"),
+        F.when(~binary & (F.col("size_bytes") <= MOST_PARSED), F.col("content")).alias("content"), *others,
+    )
+
+
 class Folders(InputPartition):
     """Folders as (number in the walk's order, path)."""
 
@@ -90,7 +108,6 @@ class RepositoryReader(DataSourceReader):
         self.root = os.path.realpath(os.path.expanduser(options["path"]))
         if not os.path.isdir(self.root):
             raise UnsupportedRepositoryError(f"{self.root} is no directory")
-        self.languages = SUFFIXES | json.loads(options.get("languages") or "{}")
         name = os.path.join(self.root, ".gitignore")
         self.rules = ignore_rules(open(name, errors="replace").read()) if os.path.isfile(name) else []
 
@@ -131,12 +148,10 @@ class RepositoryReader(DataSourceReader):
             size = os.stat(full).st_size
             with open(full, "rb") as f:
                 head = f.read(PROBE)
-                binary = b"\0" in head
-                content = head + f.read() if not binary and size <= MOST_PARSED else None
+                content = head + f.read() if b"\0" not in head and size <= MOST_PARSED else None
         except OSError:
             return
-        language = "unknown" if binary else self.languages.get(os.path.splitext(full)[1].lower(), "unknown")
-        yield path, language, size, binary, content
+        yield path, size, head, content
 
 
 class RepositorySource(DataSource):
