@@ -53,6 +53,17 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         begin = stop
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a binary or string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

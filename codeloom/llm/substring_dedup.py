@@ -1,15 +1,17 @@
 """Substring deduplication by paragraph MinHash banding.
 
 Paragraphs are cut by content, not by lines: a cut is made before a word whose hash, with the next word's, is the
-least within REACH words on both sides, or one of several least.  So a passage that stands in two documents is cut alike in both, but for its
-ends, whatever surrounds it.  Paragraphs that agree in a band of MinHashes of their word shingles meet; unequal ones
-are verified by exact Jaccard similarity of the shingles; components of links are clusters.  Of a cluster, the
-occurrence with the smallest document and place stays, and neighbouring repeats are joined to passages, which are
-extended word by word at both ends as far as another occurrence agrees.
+least within REACH words on both sides, or one of several least.  So a passage that stands in two documents is cut
+alike in both, but for its ends, whatever surrounds it.  Paragraphs that agree in a band of MinHashes of their word
+shingles meet; unequal ones are verified by exact Jaccard similarity of the shingles; components of links are clusters.
+Of a cluster, the occurrence with the smallest document and place stays, and neighbouring repeats are joined to
+passages, which are extended word by word at both ends as far as any other document goes on alike.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forest, raw_texts, slices, stored
+from .common import components, forest, fresh, raw_texts, slices, stored
 from .wordhash import mix, pieces, prefix, words
 
 #: Words between two cuts: more than REACH, unless word pairs recur within it.
@@ -26,14 +28,32 @@ REACH = 4
 #: that fall or rise nearly all the way.
 FLANK = 40
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-#: Two bands of one MinHash each: at a similarity of 0.8, 96 % of pairs meet; equal paragraphs always do.
-BANDS, ROWS = 2, 1
-#: Shingles of which a set that differs shares less than SIMILARITY: 3 of 4 are 0.75.  A `similarity` of 0.75 or less needs a smaller FEW.
-FEW = 3
+#: MinHashes of a band, and the share of pairs at SIMILARITY that shall meet in one band at least.
+ROWS, RECALL = 1, 0.95
 #: Least words of a passage that repeats.
 PASSAGE_WORDS = 20
 #: Most paragraphs compared with each other at once; a fuller bucket is dealt to more tiles, all pairs of which meet.
 TILE = 256
+#: Shingles that a comparison of two tiles looks at in one step.
+COLUMNS = 8192
+#: Contexts that one task sorts, about.
+CONTEXTS = 200_000
+#: Bytes before a context's words: its cluster and side.
+HEADER = 17
+
+
+def tuned(similarity: float, recall: float = RECALL, rows: int = ROWS) -> tuple[int, int]:
+    """(bands, few): the fewest bands of `rows` MinHashes for which that share of pairs at the similarity meet in one, and
+    the most shingles of a set that no other set is alike enough to, so that equal ones alone need meet.
+
+    A pair agrees in a band with a chance of similarity ** rows; a set of n shingles shares at most n / (n + 1) with another.
+    """
+    chance = similarity**rows
+    bands = 1 if chance >= recall else math.ceil(math.log(1 - recall) / math.log(1 - chance) - 1e-9)
+    few = 0
+    while (few + 1) / (few + 2) < similarity - 1e-9:
+        few += 1
+    return bands, few
 
 
 def paragraphs(data: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -77,15 +97,15 @@ def paragraphs(data: np.ndarray, size_of: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[first], first, last, mix(total + size.astype(np.uint64)), gram[whole], owner[whole], start, end
 
 
-def keys_of(gram: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, keys of each paragraph): hashes of the band's number and its MinHashes, BANDS a paragraph.
+def keys_of(gram: np.ndarray, owner: np.ndarray, bands: int, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys of each paragraph): hashes of the band's number and its MinHashes, `bands` a paragraph.
 
-    Of at most FEW shingles no other set but an equal one is alike enough, so these have one key, for equal sets.
+    Of at most `few` shingles no other set but an equal one is alike enough, so these have one key, for equal sets.
     """
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    few = np.diff(np.r_[starts, len(owner)]) <= FEW
+    short = np.diff(np.r_[starts, len(owner)]) <= few
     out = []
-    for band in range(BANDS):
+    for band in range(bands):
         key = np.full(len(starts), band + 1, np.uint64)
         for row in range(ROWS):
             hashed = mix(gram ^ mix(np.uint64(1000 + band * ROWS + row).reshape(1)))
@@ -94,40 +114,50 @@ def keys_of(gram: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 equal = mix(mix(np.minimum.reduceat(hashed, starts)) + np.maximum.reduceat(hashed, starts))
         out.append(key)
     keys = np.stack(out, axis=1)
-    keys[few, 0] = equal[few]
+    keys[short, 0] = equal[short]
     used = np.ones(keys.shape, bool)
-    used[few, 1:] = False
+    used[short, 1:] = False
     return keys[used], used.sum(axis=1)
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            texts = raw_texts(part.column("text"))
-            data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-            size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            doc, first, last, h, gram, owner, start, end = paragraphs(data, size)
-            if not len(doc):
-                continue
-            points = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
-            base = np.r_[0, points[np.cumsum(size) - 1]][doc]
-            first_of_doc = np.searchsorted(doc, doc)
-            keys, count = keys_of(gram, owner)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys.view(np.int64)))
-            columns = [
-                part.column("doc_id").take(pa.array(doc)), pa.array(first - first[first_of_doc]), pa.array(last - first), pa.array(points[start[first]] - 1 - base), pa.array(points[end[last - 1] - 1] - base),
-                pa.array(h.view(np.int64)), lists,
-            ]
-            yield pa.record_batch(columns, names=CUT_NAMES)
+def _cut_batches(similarity: float):  # noqa: ANN202
+    bands, few = tuned(similarity)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = raw_texts(part.column("text"))
+                data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+                size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+                doc, first, last, h, gram, owner, start, end = paragraphs(data, size)
+                if not len(doc):
+                    continue
+                own = pieces(prefix(data, 1), start, end)  # a second hash, of other values
+                check = mix(np.add.reduceat(mix(own + mix(np.arange(len(own), dtype=np.uint64) - np.repeat(first, last - first).astype(np.uint64))), first))
+                points = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with each byte
+                base = np.r_[0, points[np.cumsum(size) - 1]][doc]
+                first_of_doc = np.searchsorted(doc, doc)
+                keys, count = keys_of(gram, owner, bands, few)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys.view(np.int64)))
+                columns = [
+                    part.column("doc_id").take(pa.array(doc)), pa.array(first - first[first_of_doc]), pa.array(last - first), pa.array(points[start[first]] - 1 - base), pa.array(points[end[last - 1] - 1] - base),
+                    pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), lists,
+                ]
+                yield pa.record_batch(columns, names=CUT_NAMES)
+
+    return kernel
+
 
+CUT_NAMES = ["doc_id", "word", "n_words", "start", "end", "h", "check", "keys"]
+CUT = "doc_id long, word long, n_words long, start long, end long, h long, check long, keys array<long>"
 
-CUT_NAMES = ["doc_id", "word", "n_words", "start", "end", "h", "keys"]
-CUT = "doc_id long, word long, n_words long, start long, end long, h long, keys array<long>"
 
+def cut(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The paragraphs of every text: first word's number, words, code points (end exclusive), two hashes and band keys.
 
-def cut(docs: DataFrame) -> DataFrame:
-    """The paragraphs of every text: first word's number, words, code points (end exclusive), hash and band keys."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_cut_batches, CUT)
+    A null or empty text has none.  Other columns than doc_id and text are not read.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_cut_batches(similarity), CUT)
 
 
 def _grams_of(wanted: str):
@@ -154,10 +184,13 @@ def _grams_of(wanted: str):
 
 
 def _flank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands before (side -1) or from (side 1) each asked word on: short hashes of words and where each ends."""
+    """What stands before (side -1) or from (side 1) each asked word on: its context, and for ends of runs where each word ends.
+
+    A context is the cluster and the side, then short hashes of the words from the paragraph outwards.
+    """
     for batch in batches:
         for part in slices(batch, "text"):
-            ids, at, side, hashes, points = [], [], [], [], []
+            ids, at, side, contexts, points = [], [], [], [], []
             for doc, text, asked in zip(part.column("doc_id").to_pylist(), raw_texts(part.column("text")), part.column("asked").to_pylist()):
                 data = np.frombuffer(text + b"\n", np.uint8)
                 start, end = words(data)
@@ -167,67 +200,177 @@ def _flank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 count = np.r_[0, np.cumsum((data & 0xC0) != 0x80)].astype(np.int32)
                 begin, stop = count[start], count[end]
                 for ask in asked:
-                    w = ask["at"]
-                    span = slice(max(0, w - FLANK), w) if ask["side"] < 0 else slice(w, w + FLANK)
-                    turn = -1 if ask["side"] < 0 else 1
+                    w, turn = ask["at"], -1 if ask["side"] < 0 else 1
+                    span = slice(max(0, w - FLANK), w) if turn < 0 else slice(w, w + FLANK)
+                    if w < 0 or w > len(h) or not len(h[span]):  # rows of one id may differ in their texts
+                        continue
                     ids.append(doc)
                     at.append(w)
                     side.append(ask["side"])
-                    hashes.append(h[span][::turn].tobytes())
-                    points.append((begin if turn < 0 else stop)[span][::turn].tobytes())
+                    contexts.append(np.array([ask["id"], ask["check"]], np.int64).tobytes() + (b"b" if turn < 0 else b"a") + h[span][::turn].tobytes())
+                    points.append((begin if turn < 0 else stop)[span][::turn].tobytes() if ask["own"] else None)
             if ids:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(side, pa.int32()), pa.array(hashes, pa.binary()), pa.array(points, pa.binary())], names=["f_id", "f_at", "f_side", "hashes", "points"])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(side, pa.int32()), pa.array(contexts, pa.binary()), pa.array(points, pa.binary())], names=["f_id", "f_at", "f_side", "context", "points"])
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By how many words an end may be extended, and the code points of those places, farthest last."""
-    for batch in batches:
-        more, places = [], []
-        for own, other, points in zip(*(batch.column(c).to_pylist() for c in ("own", "other", "points"))):
-            n = min(len(own), len(other)) // 4
-            a, b = np.frombuffer(own, np.uint32, n), np.frombuffer(other, np.uint32, n)
-            differs = np.flatnonzero(a != b)
-            k = int(differs[0]) if len(differs) else n
-            more.append(k)
-            places.append(np.frombuffer(points, np.int32, k).tolist())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("run"), batch.column("side"), pa.array(more, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names=["e_id", "e_run", "side", "more", "places"])
-
-
-def _extended(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found with its runs extended at both ends by the words that their first and last paragraphs' partners share."""
-    # The partner's first and last occurrence are both tried, as text with a short period has many.
-    left = [F.struct(F.lit(-1).alias("side"), F.col("head.word").alias("at"), F.col(f"head.{w}.doc_id").alias("partner"), F.col(f"head.{w}.word").alias("there")) for w in ("one", "two")]
-    right = [F.struct(F.lit(1).alias("side"), (F.col("tail.word") + F.col("tail.n_words")).alias("at"), F.col(f"tail.{w}.doc_id").alias("partner"), (F.col(f"tail.{w}.word") + F.col(f"tail.{w}.n_words")).alias("there")) for w in ("one", "two")]
-    sides = found.select("doc_id", "run", F.inline(F.array_distinct(F.array(*left, *right))))
-    asked = sides.select("doc_id", "at", "side").union(sides.select("partner", "there", "side")).distinct()
-    asked = asked.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("at", "side")).alias("asked"))  # no more than two a paragraph
+def alike(a: bytes, b: bytes) -> int:
+    """Words that two contexts share from the paragraph on; none if their clusters or sides differ."""
+    n = min(len(a), len(b))
+    differs = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return max(0, (int(differs[0]) if len(differs) else n) - HEADER) // 4
+
+
+def neighbours(rows: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
+    """For each of the sorted contexts (context, smallest and largest document): words it shares with a context of another
+    document, and with one of a document smaller than its own smallest.
+
+    In sorted order, what two contexts share is the least that neighbours between them share.  So of those that
+    qualify, the nearest on either side shares most.
+    """
+    most = 4 * FLANK
+    step = [0, *(alike(a[0], b[0]) for a, b in zip(rows, rows[1:])), 0]  # step[k]: shared with the row before
+    others, smaller = [0] * len(rows), [0] * len(rows)
+    for turn in (range(len(rows)), range(len(rows) - 1, -1, -1)):
+        # The last row passed, and the last one of another document than that: [document, None if several, words shared].
+        last, before = [None, 0], [None, 0]
+        # Rows passed whose documents fall from the top down, each with the words shared with what was passed next.
+        stack: list[list[int]] = []
+        for k in turn:
+            low, high = rows[k][1:]
+            own, now = low if low == high else None, step[k] if turn.step > 0 else step[k + 1]
+            last[1], before[1] = min(last[1], now), min(before[1], now)
+            if stack:
+                stack[-1][1] = min(stack[-1][1], now)
+            while stack and stack[-1][0] >= low:
+                gone = stack.pop()[1]
+                if stack:
+                    stack[-1][1] = min(stack[-1][1], gone)
+            smaller[k] = max(smaller[k], stack[-1][1] if stack else 0)
+            others[k] = most if own is None else max(others[k], before[1] if last[0] == own else last[1])
+            if own is None or own != last[0]:
+                before = last
+            last = [own, most]
+            stack.append([low, most])
+    return list(zip(others, smaller))
+
+
+def _compared(guests: dict[int, list[tuple[bytes, int, int]]]):
+    """Contexts come by bucket, sorted; a bucket's guests are the last context below it and the first above."""
+
+    def told(bucket: int, rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+        every = sorted({*rows, *guests.get(bucket, [])})
+        shared = dict(zip((x[0] for x in every), neighbours(every)))
+        got = [shared[x[0]] for x in rows]
+        columns = [pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.int64()), pa.array([a for a, _ in got], pa.int32()), pa.array([b for _, b in got], pa.int32())]
+        return pa.record_batch(columns, names=["c_context", "low", "others", "smaller"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        for batch in batches:
+            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "context", "low", "high"))):
+                if bucket != held and rows:
+                    yield told(held, rows)
+                    rows = []
+                held = bucket
+                rows.append(tuple(row))
+        if rows:
+            yield told(held, rows)
+
+    return kernel
+
+
+def _shared(contexts: DataFrame, most: int = CONTEXTS) -> DataFrame:
+    """(c_context, low, others, smaller) of distinct contexts (context, low, high): see `neighbours`.
+
+    Contexts are dealt to buckets by ranges, of about `most` each, so a cluster of any size is split where its words
+    differ.  The driver learns sixteen contexts a bucket for the cuts, and two for the neighbours across them.
+    """
+    buckets = max(1, contexts.count() // most)
+    edges: list[bytes] = []
+    if buckets > 1:
+        sample = contexts.where(F.pmod(F.xxhash64("context"), F.lit(max(1, most // 16))) == 0).select("context").collect()
+        edges = sorted(bytes(r["context"]) for r in sample)[15::16]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("bucket", pa.array([bisect.bisect_right(edges, c) for c in batch.column("context").to_pylist()], pa.int32()))
+
+    at = contexts.mapInArrow(placed, "context binary, low long, high long, bucket int")
+    guests: dict[int, list[tuple[bytes, int, int]]] = {}
+    if edges:
+        row = F.struct("context", "low", "high")
+        ends = sorted(at.groupBy("bucket").agg(F.min(row).alias("first"), F.max(row).alias("last")).collect())
+        plain = lambda x: (bytes(x["context"]), x["low"], x["high"])
+        for below, above in zip(ends, ends[1:]):
+            guests.setdefault(above["bucket"], []).append(plain(below["last"]))
+            guests.setdefault(below["bucket"], []).append(plain(above["first"]))
+    dealt = at.repartition(len(edges) + 1, "bucket").sortWithinPartitions("bucket", "context")
+    return dealt.mapInArrow(_compared(guests), "c_context binary, low long, others int, smaller int")
+
+
+def _extended(found: DataFrame, places: DataFrame, docs: DataFrame, contexts_a_task: int) -> DataFrame:
+    """found with its runs extended at both ends by the words that any other document shares there.
+
+    Of the words added, those go that a document smaller than the run's own shares; so the smallest document that has
+    them keeps them.
+    """
+    side = lambda end, n: found.select("doc_id", "run", F.lit(n).alias("side"), (F.col(f"{end}.word") + (F.col(f"{end}.n_words") if n > 0 else 0)).alias("at"), F.col(f"{end}.cluster").alias("cluster"))
+    sides = side("head", -1).union(side("tail", 1))
+    wanted = sides.select("cluster", "side").distinct()
+    at = F.when(F.col("side") < 0, F.col("word")).otherwise(F.col("word") + F.col("n_words")).alias("at")
+    every = places.join(wanted, "cluster").select("doc_id", at, "side", "cluster")
+    own = sides.select("doc_id", "at", "side", "cluster", F.lit(True).alias("own"))
+    asked = every.withColumn("own", F.lit(False)).union(own).groupBy("doc_id", "at", "side", "cluster").agg(F.bool_or("own").alias("own"))
+    asked = asked.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("at", "side", F.col("cluster.id").alias("id"), F.col("cluster.check").alias("check"), "own")).alias("asked"))  # no more than two a paragraph
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(asked, F.col("doc_id") == F.col("asked_id"))
-    flanks = texts.select("doc_id", "text", "asked").mapInArrow(_flank_batches, "f_id long, f_at long, f_side int, hashes binary, points binary")
-    flanks = stored(flanks.dropDuplicates(["f_id", "f_at", "f_side"]), "flanks")
-    own = flanks.select("f_id", "f_at", "f_side", F.col("hashes").alias("own"), "points")
-    other = flanks.select(F.col("f_id").alias("o_id"), F.col("f_at").alias("o_at"), F.col("f_side").alias("o_side"), F.col("hashes").alias("other"))
-    met = sides.join(own, (F.col("doc_id") == F.col("f_id")) & (F.col("at") == F.col("f_at")) & (F.col("side") == F.col("f_side")))
-    met = met.join(other, (F.col("partner") == F.col("o_id")) & (F.col("there") == F.col("o_at")) & (F.col("side") == F.col("o_side")))
-    more = met.select("doc_id", "run", "side", "own", "other", "points").mapInArrow(_agreeing, "e_id long, e_run long, side int, more int, places array<int>")
-    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("more", "places")))
-    more = more.groupBy("e_id", "e_run").agg(of(-1).alias("before"), of(1).alias("after"))
+    flanks = stored(texts.select("doc_id", "text", "asked").mapInArrow(_flank_batches, "f_id long, f_at long, f_side int, context binary, points binary"), "flanks")
+    contexts = stored(flanks.groupBy("context").agg(F.min("f_id").alias("low"), F.max("f_id").alias("high")), "contexts")
+    shared = _shared(contexts, contexts_a_task)
+    ends = flanks.where("points is not null").dropDuplicates(["f_id", "f_at", "f_side"])
+    met = ends.join(shared, F.col("context") == F.col("c_context"))
+    whole = F.floor((F.length("context") - HEADER) / 4).cast("int")
+    met = met.select("f_id", "f_at", "f_side", F.least("others", whole).alias("more"), F.when(F.col("f_id") > F.col("low"), whole).otherwise(F.col("smaller")).alias("less"), "points")
+    told = sides.join(met, (F.col("doc_id") == F.col("f_id")) & (F.col("at") == F.col("f_at")) & (F.col("side") == F.col("f_side")))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.struct("more", "less", "points")))
+    more = told.groupBy(F.col("doc_id").alias("e_id"), F.col("run").alias("e_run")).agg(of(-1).alias("before"), of(1).alias("after"))
     rows = found.join(more, (F.col("doc_id") == F.col("e_id")) & (F.col("run") == F.col("e_run")), "left")
     # Two runs may reach for the same words between them: the earlier one has them.
     order = Window.partitionBy("doc_id").orderBy("run")
     rows = rows.withColumn("after_words", F.coalesce("after.more", F.lit(0)))
     free = F.col("head.word") - F.coalesce(F.lag(F.col("tail.word") + F.col("tail.n_words") + F.col("after_words")).over(order), F.lit(0))
     ahead = F.coalesce(F.lead("head.word").over(order) - F.col("tail.word") - F.col("tail.n_words"), F.lit(FLANK))
-    rows = rows.withColumn("after_words", F.least("after_words", F.greatest(ahead, F.lit(0)))).withColumn("free", F.greatest(free, F.lit(0)))
+    rows = rows.withColumn("after_words", F.least("after_words", F.greatest(ahead, F.lit(0))).cast("int")).withColumn("free", F.greatest(free, F.lit(0)))
     rows = rows.withColumn("before_words", F.least(F.coalesce("before.more", F.lit(0)), "free").cast("int"))
-    place = lambda c, n: F.try_element_at(f"{c}.places", F.greatest(n.cast("int"), F.lit(1))).cast("long")
-    rows = rows.withColumn("new_start", F.when(F.col("before_words") > 0, place("before", F.col("before_words"))).otherwise(F.col("start")))
-    rows = rows.withColumn("new_end", F.when(F.col("after_words") > 0, place("after", F.col("after_words"))).otherwise(F.col("end")))
-    gone_before = (F.col("before_words") > 0) & F.col("head.elsewhere")
-    gone_after = (F.col("after_words") > 0) & F.col("tail.elsewhere")
-    extra = F.array(F.when(gone_before, F.struct(F.col("new_start").alias("start"), F.col("start").alias("end"))), F.when(gone_after, F.struct(F.col("end").alias("start"), F.col("new_end").alias("end"))))
-    removed = F.sort_array(F.concat("removed", F.filter(extra, lambda x: x.isNotNull())))
-    words_gone = F.col("n_removed") + F.when(gone_before, F.col("before_words")).otherwise(0) + F.when(gone_after, F.col("after_words")).otherwise(0)
-    return rows.select("doc_id", F.col("new_start").alias("start"), F.col("new_end").alias("end"), (F.col("n_words") + F.col("before_words") + F.col("after_words")).alias("n_words"), words_gone.alias("n_removed"), "kept_doc_id", removed.alias("removed"))
+    rows = rows.withColumn("before_gone", F.least(F.coalesce("before.less", F.lit(0)), "before_words")).withColumn("after_gone", F.least(F.coalesce("after.less", F.lit(0)), "after_words"))
+
+    def place(end: str, n: str, none: str):  # noqa: ANN202
+        """The code point of the n-th word outwards, from its four bytes; of no word, the end itself."""
+        raw = F.substring(F.col(f"{end}.points"), (F.col(n) - 1) * 4 + 1, F.lit(4))
+        digits = F.concat(*[F.substring(F.hex(raw), 7 - 2 * k, 2) for k in range(4)])  # the last byte is the highest
+        return F.when(F.col(n) > 0, F.conv(digits, 16, 10).cast("long")).otherwise(F.col(none))
+
+    gone = F.array(F.when(F.col("before_gone") > 0, F.struct(place("before", "before_gone", "start").alias("start"), F.col("start").alias("end"))), F.when(F.col("after_gone") > 0, F.struct(F.col("end").alias("start"), place("after", "after_gone", "end").alias("end"))))
+    removed = F.sort_array(F.concat("removed", F.array_compact(gone)))
+    return rows.select(
+        "doc_id", place("before", "before_words", "start").alias("start"), place("after", "after_words", "end").alias("end"), (F.col("n_words") + F.col("before_words") + F.col("after_words")).alias("n_words"),
+        (F.col("n_removed") + F.col("before_gone") + F.col("after_gone")).alias("n_removed"), "kept_doc_id", removed.alias("removed"),
+    )
+
+
+def shared_grams(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a has in common with each of b, by products of 0-1 matrices, COLUMNS shingles at a time."""
+    flat = np.concatenate([*a, *b])
+    _, code = np.unique(flat, return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        lo, hi = np.searchsorted(code, [at, at + COLUMNS])
+        m = np.zeros((len(a) + len(b), min(COLUMNS, int(code[-1]) + 1 - at)), np.float32)
+        m[row[lo:hi], code[lo:hi] - at] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out
 
 
 def _verified(similarity: float):
@@ -235,89 +378,109 @@ def _verified(similarity: float):
         for batch in batches:
             left, right = [], []
             for a, ga, b, gb in zip(*(batch.column(c).to_pylist() for c in ("ha", "ga", "hb", "gb"))):
-                sets = [set(x) for x in gb]
-                i, j = [], []
-                for x, g in zip(a, ga):
-                    own = set(g)
-                    for y, other in zip(b, sets):
-                        if x != y and min(len(own), len(other)) >= similarity * max(len(own), len(other)):
-                            shared = len(own & other)
-                            if shared >= similarity * (len(own) + len(other) - shared):
-                                i.append(x)
-                                j.append(y)
-                if i:
-                    u, v = forest(np.array(i, np.int64), np.array(j, np.int64))
-                    left.append(u)
-                    right.append(v)
+                u, v = [np.array(x, np.int64) for x in ga], [np.array(x, np.int64) for x in gb]
+                shared = shared_grams(u, v)
+                union = np.array([len(x) for x in u])[:, None] + np.array([len(x) for x in v])[None] - shared
+                i, j = np.nonzero(shared >= similarity * union - 1e-6)
+                x, y = np.array(a, np.int64)[i], np.array(b, np.int64)[j]
+                if (x != y).any():
+                    x, y = forest(x[x != y], y[x != y])
+                    left.append(x)
+                    right.append(y)
             if left:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
 
     return kernel
 
 
-def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+def verified_links(buckets: DataFrame, grams: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) that join all paragraphs of a bucket with a Jaccard similarity of `similarity` or more; exact.
+
+    buckets (key, h), grams (h, grams).  Two sets that alike share one of their first n - ceil(similarity * n) + 1
+    shingles in any common order, so a bucket is split by those, the rarest in the bucket first: what a bucket has in
+    common by chance comes last.  In each part all are held against one; those that link to it need no comparison
+    with each other.  What is left meets all of the part in tiles, each pair of tiles a row of its own.
+    """
+    every = buckets.join(grams, "h").select("key", "h", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = every.groupBy("key", "gram").agg(F.count("*").alias("often")).where("often > 1")
+    listed = every.join(often, ["key", "gram"]).groupBy("key", "h", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("known"))  # a paragraph's shingles
+    # shingles that are alone in the bucket are the rarest: they take places of the first ones, but no other has them
+    first = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("known"))
+    parts = listed.where(first > 0).select("h", "key", F.explode(F.slice("known", F.lit(1), first.cast("int"))).alias("by"))
+    parts = stored(parts.select(F.xxhash64("key", "by.gram").alias("part"), "h").join(grams, "h"), "parts")
+    pivots = parts.groupBy("part").agg(F.min(F.struct("h", "grams")).alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    shared = F.size(F.array_intersect("grams", "pivot.grams"))
+    near = shared >= similarity * (F.size("grams") + F.size("pivot.grams") - shared) - 1e-9
+    held = stored(parts.join(pivots, "part").where(F.col("h") != F.col("pivot.h")).select("part", "h", "grams", F.col("pivot.h").alias("pivot"), near.alias("near")), "held")
+    sizes = held.groupBy("part").agg(F.ceil(F.count_if("near") / F.lit(tile)).alias("near_tiles"), F.ceil(F.count_if(~F.col("near")) / F.lit(tile)).alias("far_tiles"))
+    rest = held.join(sizes.where("far_tiles > 0"), "part")
+    number = F.pmod(F.xxhash64("h"), F.when(F.col("near"), F.col("near_tiles")).otherwise(F.col("far_tiles")))
+    tiles = rest.groupBy("part", "near", number.alias("tile"), "far_tiles").agg(F.collect_list("h").alias("h"), F.collect_list("grams").alias("g"))
+    tiles = stored(tiles, "tiles")
+    far = tiles.where("not near").select("part", F.col("tile").alias("to"), F.col("h").alias("ha"), F.col("g").alias("ga"))
+    # a tile of linked paragraphs meets all tiles of the others, one of the others itself and those after it
+    ask = tiles.select("part", F.explode(F.sequence(F.when(F.col("near"), F.lit(0)).otherwise(F.col("tile")), F.col("far_tiles") - 1)).alias("to"), F.col("h").alias("hb"), F.col("g").alias("gb"))
+    pairs = far.join(ask, ["part", "to"]).select("ha", "ga", "hb", "gb")
+    return pairs.mapInArrow(_verified(similarity), "a long, b long").union(held.where("near").select(F.col("pivot").alias("a"), F.col("h").alias("b")))
+
+
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int = PASSAGE_WORDS, contexts_a_task: int = CONTEXTS) -> DataFrame:
     """Passages that stand in more than one document: one row each, with what of it is to go.
 
-    Columns: doc_id, start, end (code points, end exclusive), n_words, n_removed (words of it in paragraphs whose
-    kept occurrence is elsewhere), kept_doc_id (the smallest document that has one of its paragraphs), removed (a
-    list of the (start, end) to delete).  A passage is a run of neighbouring paragraphs that repeat, of
-    extended at both ends by the words that an occurrence in another document shares, of passage_words words at
-    least then.  A document without an id has no part in it; a null or empty text has no paragraphs.  Rows of
-    one id count as one document.  Other columns are not read; an empty table gives an empty result.
+    Columns: doc_id, start, end (code points, end exclusive), n_words, n_removed (words of it whose kept occurrence is
+    elsewhere), kept_doc_id (the smallest document that has one of its paragraphs), removed (a list of the (start, end)
+    to delete).  A passage is a run of neighbouring paragraphs that repeat, extended at both ends by the words that
+    another document shares, of passage_words words at least then.  Ties: of equal paragraphs the one in the
+    smallest document, then of the smallest place, stays.  A document without an id has no part in it; a null or
+    empty text has no paragraphs; texts of any length are cut whole.  Rows of one id count as one document.  Other
+    columns are not read; an empty table gives an empty result.  Paragraphs are one if two hashes of 64 bits are equal.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
-    banded = cut(docs).select("*", F.explode("keys").alias("key")).drop("keys")
+    banded = cut(docs, similarity).select("*", F.explode("keys").alias("key")).drop("keys")
     met = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("h").alias("h_low"), F.max("h").alias("h_high"))
     met = stored(met.where("low < high").select(F.col("key").alias("met_key"), (F.col("h_low") != F.col("h_high")).alias("differ")), "met")
     members = stored(banded.join(met, banded["key"] == met["met_key"]).drop("met_key"), "members")
     # Unequal paragraphs in a bucket: one place of each is looked up again for its shingles.
-    unequal = members.where("differ").groupBy("h").agg(F.min(F.struct("doc_id", "word")).alias("at"))
+    unequal = members.where("differ").groupBy("h").agg(F.min(F.struct("doc_id", "word", "check")).alias("at"))
     asked = unequal.groupBy(F.col("at.doc_id").alias("asked_id")).agg(F.collect_set("h").alias("asked"))  # no more than the document's paragraphs
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("asked_id"))
-    grams = texts.select("text", "asked").mapInArrow(_grams_of("asked"), "h long, grams array<long>").groupBy("h").agg(F.first("grams").alias("grams"))
-    buckets = members.where("differ").select("key", "h").distinct()
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / F.lit(TILE)).alias("tiles"))
-    dealt = buckets.join(sizes, "key").join(grams, "h").select("key", F.pmod(F.xxhash64("h"), F.col("tiles")).alias("tile"), "h", "grams")
-    tiles = stored(dealt.groupBy("key", "tile").agg(F.collect_list("h").alias("h"), F.collect_list("grams").alias("g")), "tiles")
-    left = tiles.select("key", F.col("tile").alias("ta"), F.col("h").alias("ha"), F.col("g").alias("ga"))
-    right = tiles.select("key", F.col("tile").alias("tb"), F.col("h").alias("hb"), F.col("g").alias("gb"))
-    edges = left.join(right, "key").where("ta <= tb").select("ha", "ga", "hb", "gb").mapInArrow(_verified(similarity), "a long, b long")
+    grams = stored(texts.select("text", "asked").mapInArrow(_grams_of("asked"), "h long, grams array<long>").groupBy("h").agg(F.min("grams").alias("grams")), "grams")
+    edges = verified_links(members.where("differ").select("key", "h").distinct(), grams, similarity)
     roots = components(edges).select(F.col("node").alias("linked"), "root")
-    places = members.select("doc_id", "word", "n_words", "start", "end", "h").distinct()
-    classed = places.join(roots, places["h"] == roots["linked"], "left").select("doc_id", "word", "n_words", "start", "end", F.coalesce("root", "h").alias("cluster"))
+    roots = roots.join(unequal.select("h", F.col("at.check").alias("linked_check")), F.col("linked") == F.col("h")).drop("h")
+    places = members.select("doc_id", "word", "n_words", "start", "end", "h", "check").distinct()
+    own = F.when(F.col("root").isNull(), F.struct(F.col("h").alias("id"), "check")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).cast("long").alias("check")))
+    classed = places.join(roots, (places["h"] == roots["linked"]) & (places["check"] == roots["linked_check"]), "left").select("doc_id", "word", "n_words", "start", "end", own.alias("cluster"))
     classed = stored(classed, "classed")
-    place, back = F.struct("doc_id", "word", "n_words"), F.struct(F.bitwise_not("doc_id").alias("doc_id"), "word", "n_words")  # back: documents in falling order
-    clusters = classed.groupBy("cluster").agg(F.min(place).alias("keep"), F.max(back).alias("keep_last"), F.min(back).alias("high_first"), F.max(place).alias("high"))
-    for c in ("keep_last", "high_first"):
-        clusters = clusters.withColumn(c, F.col(c).withField("doc_id", F.bitwise_not(F.col(f"{c}.doc_id"))))
-    clusters = clusters.where("keep.doc_id < high.doc_id").select(F.col("cluster").alias("known"), "keep", "keep_last", "high_first", "high")
-    again = classed.join(clusters, classed["cluster"] == clusters["known"])
+    clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high")).where("keep.doc_id < high")
+    again = classed.join(clusters.select(F.col("cluster").alias("known"), "keep"), F.col("cluster") == F.col("known")).drop("known")
+    again = stored(again, "again")
     # In the document that has the kept occurrence, a short line said again and again stays whole.
     order = Window.partitionBy("doc_id").orderBy("word", "n_words")
     goes_on = (F.lag("cluster").over(order) == F.col("cluster")) & (F.lag(F.col("word") + F.col("n_words")).over(order) == F.col("word"))
     stays = (F.col("doc_id") == F.col("keep.doc_id")) & ((F.col("word") == F.col("keep.word")) | F.coalesce(goes_on, F.lit(False)))
-    again = again.withColumn("goes", ~stays)
-    # An end is compared with the document that has the kept occurrence, or that one's with the last document.
-    again = again.withColumn("elsewhere", F.col("doc_id") != F.col("keep.doc_id"))
-    one, two = (F.when(F.col("elsewhere"), F.col(a)).otherwise(F.col(b)) for a, b in (("keep", "high_first"), ("keep_last", "high")))
-    ends = F.struct("word", "n_words", one.alias("one"), two.alias("two"), "elsewhere")
+    ends = F.struct("word", "n_words", "cluster")
     begins = (F.col("word") != F.coalesce(F.lag(F.col("word") + F.col("n_words")).over(order), F.lit(-1))).cast("long")
-    runs = again.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    runs = again.withColumn("goes", ~stays).withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
     gone = F.when(F.col("goes"), F.struct("start", "end"))
     found = runs.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sum(F.when(F.col("goes"), F.col("n_words")).otherwise(0)).alias("n_removed"),
-        F.min("keep.doc_id").alias("kept_doc_id"), F.sort_array(F.collect_list(gone)).alias("removed"),
-        F.min(ends).alias("head"), F.max(ends).alias("tail"),
+        F.min("keep.doc_id").alias("kept_doc_id"), F.sort_array(F.collect_list(gone)).alias("removed"), F.min(ends).alias("head"), F.max(ends).alias("tail"),
     )
-    return _extended(stored(found, "runs"), docs).where(F.col("n_words") >= passage_words)
+    return _extended(stored(found, "runs"), again, docs, contexts_a_task).where(F.col("n_words") >= passage_words)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
-    """docs with what `repeats` removes cut from text."""
-    cuts = repeats(docs, **options).where("n_removed > 0").groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.flatten(F.collect_list("removed"))).alias("cuts"))
-    joined = docs.join(cuts, docs["doc_id"] == cuts["cut_id"], "left")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("cuts", lambda c: c["end"]))
-    begins = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length("text").cast("long")))
+    """docs with what `repeats` removes cut from text; its other columns, of any names, stay as they are.
+
+    A row without an id, or with a null or empty text, is kept as it is; rows of one id are cut alike; an empty table
+    stays empty.  Texts of any length are cut whole.
+    """
+    cut_id, cuts = fresh(docs, "cut_id", "cuts")
+    gone = repeats(docs, **options).where("n_removed > 0").groupBy(F.col("doc_id").alias(cut_id)).agg(F.sort_array(F.flatten(F.collect_list("removed"))).alias(cuts))
+    joined = docs.join(gone, F.col("doc_id") == F.col(cut_id), "left")
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda c: c["end"]))
+    begins = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.length("text").cast("long")))
     kept = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    return joined.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,8 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(2024).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False) | np.uint64(1)
+#: Two tables of the bytes' values, for two hashes that have nothing to do with each other.
+_VALUES = [np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False) | np.uint64(1) for seed in (2024, 2025)]
 _powers: dict[str, np.ndarray] = {}
 
 WHITE = np.zeros(256, bool)
@@ -32,10 +33,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return known
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Sums that `pieces` needs; data: uint8."""
+def prefix(data: np.ndarray, table: int = 0) -> np.ndarray:
+    """Sums that `pieces` needs; data: uint8; table: 0 or 1, for one hash or another."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power(_BASE, len(data))[: len(data)], dtype=np.uint64, out=out[1:])
+    np.cumsum(_VALUES[table][data] * _power(_BASE, len(data))[: len(data)], dtype=np.uint64, out=out[1:])
     return out
 
 

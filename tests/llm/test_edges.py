@@ -4,7 +4,7 @@ import pytest
 from codeloom.llm import fingerprint, html_extract, line_crf, mixing, pii, quality, sentencepieces, simhash, substring_dedup, warc
 from pyspark.sql import functions as F
 
-NAMES = ["id", "fp", "key", "y", "row", "sid", "shard", "block", "size", "source_size", "target", "taken", "first", "payload", "n", "node", "root", "a", "b", "low", "component_id", "kept_id", "known", "score", "text_", "start", "end", "word", "ids", "bucket", "position", "next", "para", "band", "gram", "hash", "count", "rank", "last", "name", "value", "doc", "raw", "begin", "piece", "owner", "m", "x", "uses", "use"]
+NAMES = ["id", "fp", "key", "y", "row", "sid", "shard", "block", "size", "source_size", "target", "taken", "first", "payload", "n", "node", "root", "a", "b", "low", "component_id", "kept_id", "known", "score", "text_", "start", "end", "word", "ids", "bucket", "position", "next", "para", "band", "gram", "hash", "count", "rank", "last", "name", "value", "doc", "raw", "begin", "piece", "owner", "m", "x", "uses", "use", "cuts", "cut_id", "text2", "keep", "context", "asked", "words"]
 TEXT = "A quiet line about the harbour, with gulls and ropes and tar, where boats wait for the tide every morning of the week. "
 DOCS = [(1, TEXT * 2, "en", "a", 5), (2, TEXT * 2, None, None, None), (2, TEXT * 2, None, None, None), (None, None, None, None, None), (3, "", "en", "a", 0), (4, "mail x@y.org " + "z " * 40000, "en", "b", 1), (5, "a\0b é🙂", "en", "b", 1)]
 PAGES = [(1, "http://x/1", "<p>Some text, long enough, to be kept.</p>"), (2, None, None), (2, None, None), (None, "http://x/\r\n3", "<p>Some text, long enough, to be kept.</p>"), (3, "u", "<div>" * 3000 + "deep"), (4, "v", "<!-- " * 1000)]

@@ -211,7 +211,7 @@ def test_html_wrappers():
 
 def test_substrings(docs):
     rows = substring_dedup.repeats(docs).collect()
-    assert {r.doc_id for r in rows} == {3, 4, 8, 9} - ({3, 4} if not any(r.doc_id == 3 for r in rows) else set())
+    assert {r.doc_id for r in rows} == {8, 9}  # 3 and 4 share 17 words, 4 of them in other letters
     assert all(r.kept_doc_id == 8 for r in rows if r.doc_id == 9) and all("shared30" in TEXTS[r.doc_id][r.start : r.end] for r in rows if r.doc_id > 7)
     cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
     assert cut[8] == TEXTS[8] and "shared30" not in cut[9] and cut[9].startswith("eight nine ten")
