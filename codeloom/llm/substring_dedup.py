@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ from .common import components, forest, fresh, raw_texts, slices, stored
 from .wordhash import mix, pieces, prefix, words
 
 #: Words between two cuts: more than REACH, unless word pairs recur within it.
-REACH = 4
+REACH = 6
 #: Most words by which an end is extended.  A longer stretch has a cut of its own, as no cut for so long takes hashes
 #: that fall or rise nearly all the way.
 FLANK = 40
+#: Bytes of a word's hash in a context.
+SHORT = 2
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: MinHashes of a band, and the share of pairs at SIMILARITY that shall meet in one band at least.
 ROWS, RECALL = 1, 0.95
@@ -39,7 +42,7 @@ COLUMNS = 8192
 #: Contexts that one task sorts, about.
 CONTEXTS = 200_000
 #: Bytes before a context's words: its cluster and side.
-HEADER = 17
+HEADER = 13
 
 
 def tuned(similarity: float, recall: float = RECALL, rows: int = ROWS) -> tuple[int, int]:
@@ -141,7 +144,7 @@ def _cut_batches(similarity: float):  # noqa: ANN202
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(keys.view(np.int64)))
                 columns = [
                     part.column("doc_id").take(pa.array(doc)), pa.array(first - first[first_of_doc]), pa.array(last - first), pa.array(points[start[first]] - 1 - base), pa.array(points[end[last - 1] - 1] - base),
-                    pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), lists,
+                    pa.array(h.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), lists,
                 ]
                 yield pa.record_batch(columns, names=CUT_NAMES)
 
@@ -149,7 +152,7 @@ def _cut_batches(similarity: float):  # noqa: ANN202
 
 
 CUT_NAMES = ["doc_id", "word", "n_words", "start", "end", "h", "check", "keys"]
-CUT = "doc_id long, word long, n_words long, start long, end long, h long, check long, keys array<long>"
+CUT = "doc_id long, word long, n_words long, start long, end long, h long, check int, keys array<long>"
 
 
 def cut(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -196,7 +199,7 @@ def _flank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 start, end = words(data)
                 if not len(start):
                     continue
-                h = (pieces(prefix(data), start, end) >> np.uint64(32)).astype(np.uint32)
+                h = (pieces(prefix(data), start, end) >> np.uint64(48)).astype(np.uint16)
                 count = np.r_[0, np.cumsum((data & 0xC0) != 0x80)].astype(np.int32)
                 begin, stop = count[start], count[end]
                 for ask in asked:
@@ -207,7 +210,7 @@ def _flank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     ids.append(doc)
                     at.append(w)
                     side.append(ask["side"])
-                    contexts.append(np.array([ask["id"], ask["check"]], np.int64).tobytes() + (b"b" if turn < 0 else b"a") + h[span][::turn].tobytes())
+                    contexts.append(struct.pack("<qi", ask["id"], ask["check"]) + (b"b" if turn < 0 else b"a") + h[span][::turn].tobytes())
                     points.append((begin if turn < 0 else stop)[span][::turn].tobytes() if ask["own"] else None)
             if ids:
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(side, pa.int32()), pa.array(contexts, pa.binary()), pa.array(points, pa.binary())], names=["f_id", "f_at", "f_side", "context", "points"])
@@ -217,7 +220,7 @@ def alike(a: bytes, b: bytes) -> int:
     """Words that two contexts share from the paragraph on; none if their clusters or sides differ."""
     n = min(len(a), len(b))
     differs = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
-    return max(0, (int(differs[0]) if len(differs) else n) - HEADER) // 4
+    return max(0, (int(differs[0]) if len(differs) else n) - HEADER) // SHORT
 
 
 def neighbours(rows: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
@@ -227,7 +230,7 @@ def neighbours(rows: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
     In sorted order, what two contexts share is the least that neighbours between them share.  So of those that
     qualify, the nearest on either side shares most.
     """
-    most = 4 * FLANK
+    most = FLANK
     step = [0, *(alike(a[0], b[0]) for a, b in zip(rows, rows[1:])), 0]  # step[k]: shared with the row before
     others, smaller = [0] * len(rows), [0] * len(rows)
     for turn in (range(len(rows)), range(len(rows) - 1, -1, -1)):
@@ -308,27 +311,29 @@ def _shared(contexts: DataFrame, most: int = CONTEXTS) -> DataFrame:
     return dealt.mapInArrow(_compared(guests), "c_context binary, low long, others int, smaller int")
 
 
-def _extended(found: DataFrame, places: DataFrame, docs: DataFrame, contexts_a_task: int) -> DataFrame:
+def _extended(found: DataFrame, insides: DataFrame, docs: DataFrame, contexts_a_task: int) -> DataFrame:
     """found with its runs extended at both ends by the words that any other document shares there.
 
+    insides: (cluster, side, first, last), the first and last place (doc_id, at) where a cluster is followed on that
+    side by the same other one.
+
     Of the words added, those go that a document smaller than the run's own shares; so the smallest document that has
     them keeps them.
     """
     side = lambda end, n: found.select("doc_id", "run", F.lit(n).alias("side"), (F.col(f"{end}.word") + (F.col(f"{end}.n_words") if n > 0 else 0)).alias("at"), F.col(f"{end}.cluster").alias("cluster"))
     sides = side("head", -1).union(side("tail", 1))
     wanted = sides.select("cluster", "side").distinct()
-    at = F.when(F.col("side") < 0, F.col("word")).otherwise(F.col("word") + F.col("n_words")).alias("at")
-    every = places.join(wanted, "cluster").select("doc_id", at, "side", "cluster")
+    # What follows a paragraph within a run is a paragraph too: of all places where the same two meet, two will do.
     own = sides.select("doc_id", "at", "side", "cluster", F.lit(True).alias("own"))
-    asked = every.withColumn("own", F.lit(False)).union(own).groupBy("doc_id", "at", "side", "cluster").agg(F.bool_or("own").alias("own"))
-    asked = asked.groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("at", "side", F.col("cluster.id").alias("id"), F.col("cluster.check").alias("check"), "own")).alias("asked"))  # no more than two a paragraph
+    inner = insides.join(wanted, ["cluster", "side"]).select(F.inline(F.array_distinct(F.array("first", "last"))), "side", "cluster", F.lit(False).alias("own"))
+    asked = own.union(inner).groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("at", "side", F.col("cluster.id").alias("id"), F.col("cluster.check").alias("check"), "own")).alias("asked"))  # no more than two a paragraph
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(asked, F.col("doc_id") == F.col("asked_id"))
     flanks = stored(texts.select("doc_id", "text", "asked").mapInArrow(_flank_batches, "f_id long, f_at long, f_side int, context binary, points binary"), "flanks")
     contexts = stored(flanks.groupBy("context").agg(F.min("f_id").alias("low"), F.max("f_id").alias("high")), "contexts")
     shared = _shared(contexts, contexts_a_task)
     ends = flanks.where("points is not null").dropDuplicates(["f_id", "f_at", "f_side"])
     met = ends.join(shared, F.col("context") == F.col("c_context"))
-    whole = F.floor((F.length("context") - HEADER) / 4).cast("int")
+    whole = F.floor((F.length("context") - HEADER) / SHORT).cast("int")
     met = met.select("f_id", "f_at", "f_side", F.least("others", whole).alias("more"), F.when(F.col("f_id") > F.col("low"), whole).otherwise(F.col("smaller")).alias("less"), "points")
     told = sides.join(met, (F.col("doc_id") == F.col("f_id")) & (F.col("at") == F.col("f_at")) & (F.col("side") == F.col("f_side")))
     of = lambda n: F.max(F.when(F.col("side") == n, F.struct("more", "less", "points")))
@@ -449,7 +454,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     roots = components(edges).select(F.col("node").alias("linked"), "root")
     roots = roots.join(unequal.select("h", F.col("at.check").alias("linked_check")), F.col("linked") == F.col("h")).drop("h")
     places = members.select("doc_id", "word", "n_words", "start", "end", "h", "check").distinct()
-    own = F.when(F.col("root").isNull(), F.struct(F.col("h").alias("id"), "check")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).cast("long").alias("check")))
+    own = F.when(F.col("root").isNull(), F.struct(F.col("h").alias("id"), "check")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).alias("check")))
     classed = places.join(roots, (places["h"] == roots["linked"]) & (places["check"] == roots["linked_check"]), "left").select("doc_id", "word", "n_words", "start", "end", own.alias("cluster"))
     classed = stored(classed, "classed")
     clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high")).where("keep.doc_id < high")
@@ -467,7 +472,14 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.sum(F.when(F.col("goes"), F.col("n_words")).otherwise(0)).alias("n_removed"),
         F.min("keep.doc_id").alias("kept_doc_id"), F.sort_array(F.collect_list(gone)).alias("removed"), F.min(ends).alias("head"), F.max(ends).alias("tail"),
     )
-    return _extended(stored(found, "runs"), again, docs, contexts_a_task).where(F.col("n_words") >= passage_words)
+    # Two neighbours within a run, seen from the one and from the other.
+    after = F.lead(F.struct("cluster", "word")).over(order).alias("after")
+    met = again.select("doc_id", "word", "n_words", "cluster", after).where(F.col("after.word") == F.col("word") + F.col("n_words"))
+    seen = lambda n, cluster, other, at: F.struct(F.lit(n).alias("side"), cluster.alias("cluster"), other.alias("other"), at.alias("at"))
+    sides = F.array(seen(1, F.col("cluster"), F.col("after.cluster"), F.col("after.word")), seen(-1, F.col("after.cluster"), F.col("cluster"), F.col("after.word")))
+    place = F.struct("doc_id", "at")
+    insides = met.select("doc_id", F.inline(sides)).groupBy("cluster", "side", "other").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    return _extended(stored(found, "runs"), insides, docs, contexts_a_task).where(F.col("n_words") >= passage_words)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
