@@ -40,7 +40,7 @@ TILE = 256
 #: Shingles that a comparison of two tiles looks at in one step.
 COLUMNS = 8192
 #: Contexts that one task sorts, about.
-CONTEXTS = 200_000
+CONTEXTS = 100_000
 #: Bytes before a context's words: its cluster and side.
 HEADER = 13
 
@@ -216,30 +216,36 @@ def _flank_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(side, pa.int32()), pa.array(contexts, pa.binary()), pa.array(points, pa.binary())], names=["f_id", "f_at", "f_side", "context", "points"])
 
 
-def alike(a: bytes, b: bytes) -> int:
-    """Words that two contexts share from the paragraph on; none if their clusters or sides differ."""
-    n = min(len(a), len(b))
-    differs = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
-    return max(0, (int(differs[0]) if len(differs) else n) - HEADER) // SHORT
+def alike(contexts: list[bytes]) -> list[int]:
+    """Words that each context but the first shares with the one before; none if their clusters or sides differ."""
+    if len(contexts) < 2:
+        return []
+    wide = HEADER + SHORT * FLANK + 1  # and one byte that never agrees
+    m = np.frombuffer(b"".join(c.ljust(wide, b"\0") for c in contexts), np.uint8).reshape(-1, wide)
+    size = np.fromiter(map(len, contexts), np.int64, len(contexts))
+    differs = m[1:] != m[:-1]
+    differs[:, -1] = True
+    same = np.minimum(differs.argmax(axis=1), np.minimum(size[1:], size[:-1]))
+    return (np.maximum(0, same - HEADER) // SHORT).tolist()
 
 
-def neighbours(rows: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
-    """For each of the sorted contexts (context, smallest and largest document): words it shares with a context of another
-    document, and with one of a document smaller than its own smallest.
+def neighbours(contexts: list[bytes], lows: list[int], highs: list[int]) -> tuple[list[int], list[int]]:
+    """For each of the sorted contexts, of which the smallest and largest document are given: words it shares with a
+    context of another document, and with one of a document smaller than its own smallest.
 
     In sorted order, what two contexts share is the least that neighbours between them share.  So of those that
     qualify, the nearest on either side shares most.
     """
-    most = FLANK
-    step = [0, *(alike(a[0], b[0]) for a, b in zip(rows, rows[1:])), 0]  # step[k]: shared with the row before
-    others, smaller = [0] * len(rows), [0] * len(rows)
-    for turn in (range(len(rows)), range(len(rows) - 1, -1, -1)):
+    most, n = FLANK, len(contexts)
+    step = [0, *alike(contexts), 0]  # step[k]: shared with the one before
+    others, smaller = [0] * n, [0] * n
+    for turn in (range(n), range(n - 1, -1, -1)):
         # The last row passed, and the last one of another document than that: [document, None if several, words shared].
         last, before = [None, 0], [None, 0]
         # Rows passed whose documents fall from the top down, each with the words shared with what was passed next.
         stack: list[list[int]] = []
         for k in turn:
-            low, high = rows[k][1:]
+            low, high = lows[k], highs[k]
             own, now = low if low == high else None, step[k] if turn.step > 0 else step[k + 1]
             last[1], before[1] = min(last[1], now), min(before[1], now)
             if stack:
@@ -254,30 +260,35 @@ def neighbours(rows: list[tuple[bytes, int, int]]) -> list[tuple[int, int]]:
                 before = last
             last = [own, most]
             stack.append([low, most])
-    return list(zip(others, smaller))
+    return others, smaller
 
 
 def _compared(guests: dict[int, list[tuple[bytes, int, int]]]):
     """Contexts come by bucket, sorted; a bucket's guests are the last context below it and the first above."""
 
-    def told(bucket: int, rows: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
-        every = sorted({*rows, *guests.get(bucket, [])})
-        shared = dict(zip((x[0] for x in every), neighbours(every)))
-        got = [shared[x[0]] for x in rows]
-        columns = [pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.int64()), pa.array([a for a, _ in got], pa.int32()), pa.array([b for _, b in got], pa.int32())]
+    def told(bucket: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = [[x for p in parts for x in p.column(c).to_pylist()] for c in ("context", "low", "high")]
+        before = [g for g in guests.get(bucket, []) if g[0] < rows[0][0]]
+        after = [g for g in guests.get(bucket, []) if g[0] > rows[0][-1]]
+        every = [[*(g[c] for g in before), *rows[c], *(g[c] for g in after)] for c in range(3)]
+        shared = [x[len(before) : len(x) - len(after)] for x in neighbours(*every)]
+        columns = [pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), *(pa.array(x, pa.int32()) for x in shared)]
         return pa.record_batch(columns, names=["c_context", "low", "others", "smaller"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = None, []
+        held, parts = None, []
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "context", "low", "high"))):
-                if bucket != held and rows:
-                    yield told(held, rows)
-                    rows = []
-                held = bucket
-                rows.append(tuple(row))
-        if rows:
-            yield told(held, rows)
+            bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+            for a, b in zip(edges, edges[1:]):
+                if b > a and bucket[a] != held and parts:
+                    yield told(held, parts)
+                    parts = []
+                if b > a:
+                    held = int(bucket[a])
+                    parts.append(batch.slice(a, b - a))
+        if parts:
+            yield told(held, parts)
 
     return kernel
 
@@ -327,7 +338,7 @@ def _extended(found: DataFrame, insides: DataFrame, docs: DataFrame, contexts_a_
     own = sides.select("doc_id", "at", "side", "cluster", F.lit(True).alias("own"))
     inner = insides.join(wanted, ["cluster", "side"]).select(F.inline(F.array_distinct(F.array("first", "last"))), "side", "cluster", F.lit(False).alias("own"))
     asked = own.union(inner).groupBy(F.col("doc_id").alias("asked_id")).agg(F.collect_list(F.struct("at", "side", F.col("cluster.id").alias("id"), F.col("cluster.check").alias("check"), "own")).alias("asked"))  # no more than two a paragraph
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(asked, F.col("doc_id") == F.col("asked_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("asked_id"))  # texts needn't be sorted
     flanks = stored(texts.select("doc_id", "text", "asked").mapInArrow(_flank_batches, "f_id long, f_at long, f_side int, context binary, points binary"), "flanks")
     contexts = stored(flanks.groupBy("context").agg(F.min("f_id").alias("low"), F.max("f_id").alias("high")), "contexts")
     shared = _shared(contexts, contexts_a_task)
@@ -441,27 +452,31 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     columns are not read; an empty table gives an empty result.  Paragraphs are one if two hashes of 64 bits are equal.
     """
     docs = docs.where(F.col("doc_id").isNotNull())
-    banded = cut(docs, similarity).select("*", F.explode("keys").alias("key")).drop("keys")
+    banded = cut(docs, similarity).select("*", F.posexplode("keys").alias("band", "key")).drop("keys")
     met = banded.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("h").alias("h_low"), F.max("h").alias("h_high"))
     met = stored(met.where("low < high").select(F.col("key").alias("met_key"), (F.col("h_low") != F.col("h_high")).alias("differ")), "met")
-    members = stored(banded.join(met, banded["key"] == met["met_key"]).drop("met_key"), "members")
+    # The keys that meet are few, so they are hashed, and the paragraphs of all texts needn't be sorted.
+    members = stored(banded.join(met.hint("shuffle_hash"), banded["key"] == met["met_key"]).drop("met_key"), "members")
     # Unequal paragraphs in a bucket: one place of each is looked up again for its shingles.
     unequal = members.where("differ").groupBy("h").agg(F.min(F.struct("doc_id", "word", "check")).alias("at"))
     asked = unequal.groupBy(F.col("at.doc_id").alias("asked_id")).agg(F.collect_set("h").alias("asked"))  # no more than the document's paragraphs
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("asked_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("asked_id"))
     grams = stored(texts.select("text", "asked").mapInArrow(_grams_of("asked"), "h long, grams array<long>").groupBy("h").agg(F.min("grams").alias("grams")), "grams")
     edges = verified_links(members.where("differ").select("key", "h").distinct(), grams, similarity)
     roots = components(edges).select(F.col("node").alias("linked"), "root")
     roots = roots.join(unequal.select("h", F.col("at.check").alias("linked_check")), F.col("linked") == F.col("h")).drop("h")
-    places = members.select("doc_id", "word", "n_words", "start", "end", "h", "check").distinct()
+    # Equal paragraphs meet in every band, so of those that link to no other one band is enough.
+    places = members.select("doc_id", "word", "n_words", "start", "end", "h", "check", "band")
     own = F.when(F.col("root").isNull(), F.struct(F.col("h").alias("id"), "check")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).alias("check")))
-    classed = places.join(roots, (places["h"] == roots["linked"]) & (places["check"] == roots["linked_check"]), "left").select("doc_id", "word", "n_words", "start", "end", own.alias("cluster"))
+    classed = places.join(roots, (places["h"] == roots["linked"]) & (places["check"] == roots["linked_check"]), "left").where("band = 0 or root is not null").select("doc_id", "word", "n_words", "start", "end", own.alias("cluster"))
     classed = stored(classed, "classed")
     clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high")).where("keep.doc_id < high")
-    again = classed.join(clusters.select(F.col("cluster").alias("known"), "keep"), F.col("cluster") == F.col("known")).drop("known")
+    again = classed.join(clusters.select(F.col("cluster").alias("known"), "keep").hint("shuffle_hash"), F.col("cluster") == F.col("known")).drop("known")
     again = stored(again, "again")
-    # In the document that has the kept occurrence, a short line said again and again stays whole.
+    # Rows of one id, and bands, may give a place again.
     order = Window.partitionBy("doc_id").orderBy("word", "n_words")
+    again = again.withColumn("seen", F.lag(F.struct("word", "n_words")).over(order)).where(~F.col("seen").eqNullSafe(F.struct("word", "n_words"))).drop("seen")
+    # In the document that has the kept occurrence, a short line said again and again stays whole.
     goes_on = (F.lag("cluster").over(order) == F.col("cluster")) & (F.lag(F.col("word") + F.col("n_words")).over(order) == F.col("word"))
     stays = (F.col("doc_id") == F.col("keep.doc_id")) & ((F.col("word") == F.col("keep.word")) | F.coalesce(goes_on, F.lit(False)))
     ends = F.struct("word", "n_words", "cluster")
