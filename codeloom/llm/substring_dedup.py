@@ -41,6 +41,8 @@ TILE = 256
 COLUMNS = 8192
 #: Contexts that one task sorts, about.
 CONTEXTS = 100_000
+#: A cluster with over this part of all places is hot.
+HOT = 1000
 #: Bytes before a context's words: its cluster and side.
 HEADER = 13
 
@@ -470,9 +472,14 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     own = F.when(F.col("root").isNull(), F.struct(F.col("h").alias("id"), "check")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).alias("check")))
     classed = places.join(roots, (places["h"] == roots["linked"]) & (places["check"] == roots["linked_check"]), "left").where("band = 0 or root is not null").select("doc_id", "word", "n_words", "start", "end", own.alias("cluster"))
     classed = stored(classed, "classed")
-    clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high")).where("keep.doc_id < high")
-    again = classed.join(clusters.select(F.col("cluster").alias("known"), "keep").hint("shuffle_hash"), F.col("cluster") == F.col("known")).drop("known")
-    again = stored(again, "again")
+    clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high"), F.count("*").alias("places"))
+    clusters = stored(clusters.where("keep.doc_id < high").select(F.col("cluster").alias("known"), "keep", "places"), "clusters")
+    # A cluster with over a HOT-th of all places is sent to every task: there are fewer than HOT of them.
+    is_hot = F.col("places") * HOT > classed.count()
+    hot = F.broadcast(clusters.where(is_hot).drop("places"))
+    cold = clusters.where(~is_hot).drop("places").hint("shuffle_hash")
+    rest = classed.join(hot, F.col("cluster") == F.col("known"), "left_anti").join(cold, F.col("cluster") == F.col("known"))
+    again = stored(classed.join(hot, F.col("cluster") == F.col("known")).unionByName(rest).drop("known"), "again")
     # Rows of one id, and bands, may give a place again.
     order = Window.partitionBy("doc_id").orderBy("word", "n_words")
     again = again.withColumn("seen", F.lag(F.struct("word", "n_words")).over(order)).where(~F.col("seen").eqNullSafe(F.struct("word", "n_words"))).drop("seen")
