@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forest, raw_texts, slices, stored
+from .common import components, forest, fresh, raw_texts, slices, stored
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -64,17 +64,21 @@ def fingerprints_of(texts: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray
     return out
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            prints = fingerprints_of(raw_texts(part.column("text")))
-            yield pa.record_batch([part.column("id"), pa.array(prints.view(np.int64))], names=["id", "fp"])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """(id, fp) of each row, and its column `keep`, a long, if one is named; fp is the fingerprint as a signed long.
 
+    A null text counts as empty.
+    """
+    more = [keep] if keep else []
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of each row; fp is the fingerprint as a signed long.  A null text counts as empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "id long, fp long")
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                prints = fingerprints_of(raw_texts(part.column("text")))
+                yield pa.record_batch([part.column("id"), pa.array(prints.view(np.int64)), *(part.column(c) for c in more)], names=["id", "fp", *more])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
+    return rows.mapInArrow(kernel, ", ".join(["id long, fp long", *(f"{c} long" for c in more)]))
 
 
 def near_offsets(segments: int, radius: int, width: int) -> list[int]:
@@ -127,12 +131,23 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, segments: i
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("long").alias("tiles"))
     dealt = cells.join(sizes, "cell").select("fp", "cell", F.pmod(F.xxhash64("fp"), F.col("tiles")).alias("tile"))
     tiles = stored(dealt.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "tiles")
+    # Pairs of tiles are found without what is in them; each is a row of its own, so no task has all of a full cell.
     offsets = F.array([F.lit(x).cast("long") for x in near_offsets(segments, radius, width)])
-    left = tiles.select(F.col("tile").alias("tile_a"), F.col("fps").alias("left"), "cell", F.explode(offsets).alias("by"))
-    left = left.select("tile_a", "left", (F.col("cell") + F.col("by")).alias("cell"), "by")
-    right = tiles.select("cell", F.col("tile").alias("tile_b"), F.col("fps").alias("right"))
-    pairs = left.join(right, "cell").where((F.col("by") != 0) | (F.col("tile_a") <= F.col("tile_b")))
-    return pairs.select("left", "right").mapInArrow(_linked(radius), "a long, b long")
+    near = tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), F.explode(offsets).alias("by")).withColumn("cell_b", F.col("cell_a") + F.col("by"))
+    near = near.join(sizes.select(F.col("cell").alias("cell_b"), "tiles"), "cell_b")
+    first = F.when(F.col("by") == 0, F.col("tile_a")).otherwise(F.lit(0))
+    pairs = near.select("cell_a", "tile_a", "cell_b", F.explode(F.sequence(first, F.col("tiles") - 1)).alias("tile_b"))
+    left = tiles.select(F.col("cell").alias("cell_a"), F.col("tile").alias("tile_a"), F.col("fps").alias("left"))
+    right = tiles.select(F.col("cell").alias("cell_b"), F.col("tile").alias("tile_b"), F.col("fps").alias("right"))
+    met = pairs.join(left, ["cell_a", "tile_a"]).join(right, ["cell_b", "tile_b"])
+    return met.select("left", "right").mapInArrow(_linked(radius), "a long, b long")
+
+
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, low, root) of the distinct fingerprints of prints (id, fp): low is the smallest id, root names the component."""
+    classes = prints.groupBy("fp").agg(F.min("id").alias("low"))
+    roots = components(links(classes, radius))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,19 +158,26 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", t
     columns of docs are not read.  An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(links(classes, radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, radius)
     named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     known = rooted.join(named, "root").select(F.col("fp").alias("key"), "component_id")
     return prints.join(known, prints["fp"] == known["key"]).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group: of those with the smallest id, one.  Rows without an id are kept as they are."""
-    keep = near_groups(docs, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    if named.groupBy("doc_id").count().where("count > 1").head(1):  # copies of a row: else texts needn't be sorted
-        named = named.dropDuplicates(["doc_id"])
-    kept = named.join(keep, named["doc_id"] == keep["kept_id"], "left_semi")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group: that with the smallest id, of these that with the smallest hash of its text.
+
+    Groups are of fingerprints, so rows of one id whose texts are unlike are in groups of their own and each may stay;
+    of rows that agree in id and text one stays, whatever else they differ in.  Rows without an id have no part in
+    groups and are kept as they are.  Null and empty texts are one group.  Columns of docs may have any names and
+    stay as they are; an empty table stays empty.
+    """
+    (key,) = fresh(docs, "text_key")
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = stored(fingerprints(named.select("doc_id", "text", F.col(key).alias("own_key")), keep="own_key"), "fingerprints")
+    kept = prints.join(_rooted(prints, radius).select(F.col("fp").alias("of"), "root"), F.col("fp") == F.col("of"))
+    kept = kept.groupBy("root").agg(F.min(F.struct("id", "own_key")).alias("one")).select(F.col("one.id").alias("kept_id"), F.col("one.own_key").alias("kept_key"))
+    if prints.groupBy("id", "own_key").count().where("count > 1").head(1):  # copies of a row: else texts needn't be sorted
+        named = named.dropDuplicates(["doc_id", key])
+    rows = named.join(kept, (named["doc_id"] == kept["kept_id"]) & (named[key] == kept["kept_key"]), "left_semi").drop(key)
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
