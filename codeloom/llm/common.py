@@ -25,7 +25,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -78,7 +78,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """(doc_id, text, y) of at most `rows` labelled documents outside the held-out fold.
 
     The rows with the smallest hashes of their ids are taken, so the sample is the same at every run.  Rows
-    without an id or label are never in it.  The id list holds at most `rows` rows, which bounds the broadcast.
+    without an id or label are never in it.  The id list holds at most `rows` rows, which bounds the broadcast.  Of
+    several rows of an id the text with the smallest hash is taken, and of different labels of an id the smallest.
     """
     ids = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
@@ -87,7 +88,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
         .orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)
     )
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return text.join(F.broadcast(ids), "doc_id")
+    text = text.join(F.broadcast(ids), "doc_id")  # few are left, so this shuffles few
+    return text.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"), F.min("y").alias("y")).select("doc_id", F.col("one.text").alias("text"), "y")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -66,3 +66,38 @@ def test_groups_of_repeated_and_null_rows(docs):
     group = {(r.doc_id): r.component_id for r in simhash.near_groups(docs).collect()}
     assert group[1] == group[2] == 1 and group[None] == group[3] == 3 and group[5] == 5
     assert sorted((r.doc_id for r in simhash.deduplicated(docs).collect()), key=repr) == [1, 3, 4, 5, None]
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b = TEXT * 3, "Something else entirely stands here, of trains and their tables and the tea that is sold at stations, number nine. " * 3
+    docs = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (5, b, "x"), (6, b, "y"), (None, a, "z")], "doc_id long, text string, text_key string")
+    assert sorted((r.doc_id or 0, r.text == a) for r in simhash.deduplicated(docs).collect()) == [(0, True), (5, False), (5, True)]
+
+
+def test_sample_is_bounded_in_rows(spark):
+    from codeloom.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(300)] + [(3, "x"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in (1, 1, 3, 4, 5)], "doc_id long, quality int")
+    for rows in (1, 2, 9):
+        got = labelled_sample(docs, labels, "quality", rows).collect()
+        assert len(got) <= rows and len({r.doc_id for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("segments", [4, 8])
+def test_links_of_real_documents(spark, segments):
+    """Both numbers of segments, over a table, against all pairs."""
+    prints = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct()
+    fps = [r.fp & (2**64 - 1) for r in prints.collect()]
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for e in simhash.links(prints, segments=segments, tile=64).collect():
+        root[find(e.a & (2**64 - 1))] = find(e.b & (2**64 - 1))
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            assert (a ^ b).bit_count() > 2 or find(a) == find(b)
