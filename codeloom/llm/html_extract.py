@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+NEXT = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "xmp", "noembed", "noframes", "canvas", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -42,19 +43,67 @@ WORDS = {
 LAYOUT = {"has", "no", "with", "without"}
 MAIN = {"article", "main"}
 POSITIVE = {"article", "body", "content", "entry", "main", "post", "story", "text", "page"}
+#: Parts that in an article hold its headline, which is kept without them.
+HEADERS, HEADLINES = {"header", "masthead"}, {"h1", "h2", "h3"}
 SPACES = re.compile(r"\s+")
 LEAST_LENGTH = 25
+#: Ancestors that a block passes points to; the next would get less than a hundredth of them.
+LEVELS = 32
+
+
+#: Groups of elements that end an open one of their own, by the tag that asks: (the group's tags, what bounds the search).
+GROUPS = list(SAME.items())
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "out", "wraps", "holds", "score", "text", "linked", "commas")
+    __slots__ = ("tag", "words", "parent", "children", "out", "wraps", "heads", "holds", "score", "text", "linked", "block", "tops")
 
     def __init__(self, tag: str, words: set[str], parent: Node | None, out: bool) -> None:
         self.tag, self.words, self.parent, self.out = tag, words, parent, out
         self.children: list[Node | str] = []
-        #: wraps: left out, but an article in it is not, as some pages are one form; holds: such a part is in it.
-        self.wraps = self.holds = False
-        self.score, self.text, self.linked, self.commas = 0.0, 0, 0, 0
+        #: wraps: left out, but an article in it is not, as some pages are one form; heads: left out, but a headline in it
+        #: is not; holds: a part that isn't left out is in it.
+        self.wraps = self.heads = self.holds = False
+        self.score, self.text, self.linked = 0.0, 0, 0
+        #: The nearest block, itself or around it; and for each of GROUPS the outermost open element since its bound.
+        self.block: Node | None = self if tag in BLOCKS else parent.block if parent else None
+        above = parent.tops if parent else (None,) * len(GROUPS)
+        if any(tag in own or tag in bound for _, (own, bound) in GROUPS):
+            above = tuple(None if tag in bound else self if top is None and tag in own else top for top, (_, (own, bound)) in zip(above, GROUPS))
+        self.tops: tuple[Node | None, ...] = above
+
+
+class Open:
+    """The open element and how many of each tag are open, in all and since the last cell, so that no search is in vain."""
+
+    def __init__(self, root: Node) -> None:
+        self.node, self.all, self.scopes = root, {}, [{}]
+
+    def enter(self, child: Node) -> None:
+        self.node = child
+        if child.tag in SCOPE:
+            self.scopes.append({})
+        for counts in (self.all, self.scopes[-1]):
+            counts[child.tag] = counts.get(child.tag, 0) + 1
+
+    def leave(self, upto: Node) -> None:
+        """Closes all elements within upto, which is around the open one."""
+        while self.node is not upto:
+            for counts in (self.all, self.scopes[-1]):
+                counts[self.node.tag] -= 1
+            if self.node.tag in SCOPE:
+                self.scopes.pop()
+            self.node = self.node.parent
+
+    def end(self, tag: str) -> None:
+        """An end tag: the nearest open element of the name is closed; one that isn't open, or an inline one across a cell's border, is not."""
+        if not self.all.get(tag) or (tag not in BLOCKS | SCOPE and not self.scopes[-1].get(tag)):
+            return
+        up = self.node
+        while up.tag != tag:
+            up = up.parent
+        if up.parent is not None:
+            self.leave(up.parent)
 
 
 def _words(attributes: str) -> tuple[set[str], bool]:
@@ -74,79 +123,110 @@ def _words(attributes: str) -> tuple[set[str], bool]:
     return words, out
 
 
-def parsed(page: str) -> Node:
-    """A tree of the page; unclosed and misnested tags are mended as browsers do in the common cases."""
-    root = node = Node("html", set(), None, False)
-    at, n = 0, len(page)
-    depth = 0
+def tokens(page: str) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, where it ends): text, cdata, other, or a tag, whose text is what stands between its brackets.
+
+    A bracket in quotes doesn't end a tag, as long as the page's quotes end; after one that doesn't, quotes mean
+    nothing.  So every character is looked at a bounded number of times.
+    """
+    at, n, last, quoted = 0, len(page), page.rfind(">"), True
     while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            node.children.append(page[at:])
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in ("html", "body"):
+        begin = page.find("<", at)
+        name = NAME.match(page, begin + 1) if begin >= 0 else None
+        while begin >= 0 and not page.startswith(("<!", "<?"), begin) and (name is None or begin > last):
+            begin = page.find("<", begin + 1) if begin < last else -1
+            name = NAME.match(page, begin + 1) if begin >= 0 else None
+        if begin < 0:
+            yield "text", page[at:], n
+            return
+        if begin > at:
+            yield "text", page[at:begin], begin
+        for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(start, begin):
+                end = page.find(stop, begin + len(start))
+                at = n if end < 0 else end + len(stop)
+                yield ("cdata" if start[2] == "[" else "other"), page[begin + len(start) : n if end < 0 else end], at
+                break
+        else:
+            if name is None:
+                end = page.find(">", begin)
+                at = n if end < 0 else end + 1
+                yield "other", "", at
                 continue
+            end = begin + 1 + len(name[0])
+            while quoted:
+                m = NEXT.search(page, end)
+                if not m or m[0] == ">":
+                    quoted, end = m is not None, m.start() if m else n
+                    break
+                close = page.find(m[0], m.end())
+                quoted, end = close >= 0, close + 1
+            if not quoted:
+                end = page.find(">", begin)
+            at = end + 1
+            yield "tag", page[begin + 1 : end], at
+
+
+def parsed(page: str) -> Node:
+    """A tree of the page; unclosed and misnested tags are mended as browsers do in the common cases.  Time is linear."""
+    root = Node("html", set(), None, False)
+    opened = Open(root)
+    skip = 0
+    for kind, text, at in tokens(page):
+        node = opened.node
+        if at <= skip:  # within an element whose content is no markup
+            continue
+        if kind == "text":
+            node.children.append(text[-(at - skip) :] if at - len(text) < skip else text)
+            continue
+        if kind != "tag":
+            if kind == "cdata":
+                node.children.append(text.replace("&", "&amp;"))
+            continue
+        name = NAME.match(text)[0]
+        tag, rest = name.lstrip("/").lower(), text[len(name) :]
+        if name[0] == "/":
             if tag == "br":
                 node.children.append(" ")
-                continue
-            up: Node | None = node
-            while up is not None and up.tag != tag:
-                if up.tag in SCOPE and tag not in BLOCKS | SCOPE:
-                    up = None  # an inline end tag doesn't reach out of a cell
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            elif tag not in ("html", "body"):
+                opened.end(tag)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+            end = re.compile(f"</{tag}", re.I).search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            skip = close + 1 if close >= 0 else len(page)
             node.children.append(" ")
             continue
         if tag in VOID:
-            if tag == "hr":
-                node.children.append(Node("hr", set(), node, False))
-            else:
-                node.children.append(" " if tag == "br" else "")
+            node.children.append(Node("hr", set(), node, False) if tag == "hr" else " " if tag == "br" else "")
             continue
         if node.tag == "head":  # its end tag may be left out
-            node = node.parent or node
+            opened.leave(node.parent or node)
         if tag in ("html", "body"):
             continue
         if tag in ENDS_P:
-            up = node
-            while up is not None and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up is not None and up.tag == "p" and up.parent is not None:
-                node = up.parent
-        if tag in SAME:
-            own, bound = SAME[tag]
-            up, found = node, None
-            while up is not None and up.tag not in bound:
-                found = up if up.tag in own else found
-                up = up.parent
-            if found is not None and found.parent is not None:
-                node = found.parent
-        words, out = _words(m[3]) if m[3].strip() else (set(), False)
-        out |= tag in LEFT_OUT or (bool(words & WORDS) and tag not in MAIN)
-        child = Node(tag, words, node, out or (node.out and not (node.wraps and tag in MAIN) and tag != "main"))
-        child.wraps = child.out and (node.wraps or not node.out) and not (out and tag != "form")
+            block = opened.node.block
+            if block is not None and block.tag == "p" and block.parent is not None:
+                opened.leave(block.parent)
+        for k, (asks, _) in enumerate(GROUPS):
+            if tag == asks and (top := opened.node.tops[k]) is not None and top.parent is not None:
+                opened.leave(top.parent)
+        node = opened.node
+        words, marked = _words(rest) if rest.strip() else (set(), False)
+        named = words & WORDS if tag not in MAIN else set()
+        left_out = marked or tag in LEFT_OUT or bool(named)
+        spared = node.out and ((node.wraps and tag in MAIN) or (node.heads and tag in HEADLINES))
+        child = Node(tag, words, node, left_out or (node.out and not spared and tag != "main"))
+        child.wraps = child.out and (node.wraps or not node.out) and not (left_out and tag != "form")
+        in_article = node.tag in MAIN or node.block is not None and node.block.tag in MAIN or any("article" in w for w in node.words)
+        child.heads = child.out and not marked and ((node.heads and not left_out) or (not node.out and in_article and (tag == "header" or bool(named)) and not named - HEADERS and tag in ("header", "div", "section", "hgroup")))
         if node.out and not child.out:
-            up = node
+            up: Node | None = node
             while up is not None and up.out and not up.holds:
                 up.holds, up = True, up.parent
         node.children.append(child)
-        if not m[3].endswith("/") or tag in BLOCKS:
-            node = child
+        if not rest.endswith("/") or tag in BLOCKS:
+            opened.enter(child)
     return root
 
 
@@ -192,42 +272,56 @@ def blocks(node: Node, whole: bool = False) -> list[tuple[str, Node, int]]:
     return out
 
 
+def _summed(root: Node, found: list[tuple[str, Node, int]]) -> list[Node]:
+    """The nodes that hold any text, parents first, with their text's length, linked characters and score."""
+    order, at = [root], 0
+    while at < len(order):
+        order += [x for x in order[at].children if isinstance(x, Node)]
+        at += 1
+    for text, holder, linked in found:
+        holder.text += len(text)
+        holder.linked += linked
+        if len(text) < LEAST_LENGTH:
+            continue
+        points = 1 + text.count(",") + text.count("，") + text.count("、") + min(3, len(text) // 100)
+        node, level = (holder.parent or holder) if holder.tag in LEAVES else holder, 0
+        while node is not None and level < LEVELS:
+            node.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
+            node, level = node.parent, level + 1
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.text += node.text
+            node.parent.linked += node.linked
+    return [x for x in order if x.text]
+
+
+#: Elements of a single paragraph, whose points go to what is around them.
+LEAVES = {"p", "pre", "li", "td", "blockquote", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
 def main_blocks(page: str) -> list[str]:
+    """The texts of the main part's blocks, in page order; none for a page without any."""
     root = parsed(page)
     found = blocks(root)
     if not found:
         return []
-    touched: dict[int, Node] = {}
-    for text, holder, linked in found:
-        points = 0.0
-        if len(text) >= LEAST_LENGTH:
-            points = 1 + text.count(",") + text.count("，") + text.count("、") + min(3, len(text) // 100)
-        node, level = holder if holder.tag not in ("p", "pre", "li", "td", "blockquote", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6") else holder.parent or holder, 0
-        up: Node | None = holder
-        while up is not None:
-            up.text += len(text)
-            up.linked += linked
-            touched[id(up)] = up
-            up = up.parent
-        while node is not None:
-            node.score += points / (1 if level == 0 else 2 if level == 1 else level * 3)
-            node, level = node.parent, level + 1
     final = {}
-    for key, node in touched.items():
+    nodes = _summed(root, found)
+    for node in nodes:
         bonus = 25 if node.tag in MAIN else 5 if node.words & POSITIVE else 0
-        final[key] = ((node.score + bonus) if node.score else bonus / 25) * (1 - node.linked / max(1, node.text))
-    best = max(touched.values(), key=lambda x: (final[id(x)], x.text))
-    if best.parent is None or best.tag in MAIN:
-        kept = [best] if best.parent is None else [x for x in best.parent.children if isinstance(x, Node) and (x is best or (x.tag in MAIN and not x.out and final.get(id(x), 0) > 0))]
-    else:
-        least = max(2.0, 0.2 * final[id(best)])
-        kept = []
-        for x in best.parent.children:
-            if not isinstance(x, Node) or x.out or not x.text:
-                continue
-            prose = x.tag in ("p", "blockquote", "pre", "h1", "h2", "h3") and x.linked / x.text < 0.25 and (x.text > 80 or x.tag[0] == "h")
-            if x is best or final.get(id(x), 0) >= least or prose:
-                kept.append(x)
+        final[node] = ((node.score + bonus) if node.score else bonus / 25) * (1 - node.linked / node.text)
+    best = max(nodes, key=lambda x: (final[x], x.text))
+    if best.parent is None:
+        return [text for text, _, _ in found]
+    least = max(2.0, 0.2 * (best.score if best.tag in MAIN else final[best]))
+    kept = []
+    for x in best.parent.children:
+        if not isinstance(x, Node) or (x.out and not x.holds) or not x.text:
+            continue
+        light = x.linked / x.text < 0.25
+        prose = x.tag in ("p", "blockquote", "pre", "h1", "h2", "h3") and light and (x.text > 80 or x.tag[0] == "h")
+        if x is best or (x.tag in MAIN and final[x] > 0) or (final[x] >= least and light) or (prose and best.tag not in MAIN):
+            kept.append(x)
     return [text for x in kept for text, _, _ in blocks(x)]
 
 

@@ -191,7 +191,7 @@ def test_warc(spark, tmp_path):
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><article class="post"><h1>Head &amp; line</h1><p>First,  long\nparagraph, with commas, and more<p>Second <b>one</b>, as long as, the first.</p><div class="comments"><p>Reader, says, things, at, length</p></div></article><footer>foot</footer>'
     assert html_extract.main_blocks(page) == ["Head & line", "First, long paragraph, with commas, and more", "Second one, as long as, the first."]
-    assert html_extract.main_blocks("") == [] and html_extract.main_blocks("<" * 2000) == html_extract.main_blocks("<" * 2000)
+    assert html_extract.main_blocks("") == []
 
 
 def test_html_wrappers():
