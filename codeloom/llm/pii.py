@@ -7,6 +7,7 @@ best-scored of overlapping candidates is taken.  The trees are fitted here, on m
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can start at the first digit of a run only: from a later one it would fail as well, or start inside a match.
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-DIGIT = re.compile("[0-9]")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -103,7 +104,15 @@ def candidates(text: str) -> list[Span]:
             out.append(("email", start, m.end()))
     for a, line in lines_with_digits(text):
         for kind, pattern in GENERATORS:
-            out += [(kind, a + m.start(), a + m.end()) for m in pattern.finditer(line) if kind != "secret" or (DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]))]
+            for m in pattern.finditer(line):
+                if kind != "secret":
+                    out.append((kind, a + m.start(), a + m.end()))
+                    continue
+                # of name=value the value alone too; signs of equality at the end are part of it
+                cut = m[0].rstrip("=").rfind("=") + 1
+                for skip in {0, cut}:
+                    if m.end() - m.start() - skip >= 20 and DIGIT.search(m[0], skip) and LETTER.search(m[0], skip):
+                        out.append((kind, a + m.start() + skip, a + m.end()))
     return out
 
 
@@ -126,7 +135,7 @@ def features(text: str, span: Span) -> list[float]:
     changes = sum(x.isdigit() != y.isdigit() for x, y in zip(raw, raw[1:]))
     return [
         KINDS.index(kind), n, digits, letters, upper, n - digits - letters, len(groups), len(groups[0]), len(groups[-1]), max(map(len, groups)), float(-(count * np.log2(count)).sum()), len(count) / n,
-        all(c in "0123456789abcdefABCDEF" for c in raw), kind == "iban" and _iban_ok(raw), bool(GOOD.search(before)), bool(BAD.search(before)), before[-1:].isalnum(), before[-1:] in "=:\"'", after[:1].isalnum(),
+        all(c in "0123456789abcdefABCDEF" for c in raw), kind == "iban" and _iban_ok(raw), bool(GOOD.search(before)), bool(BAD.search(before)), before[-1:].isalnum(), before[-1:] in ("=", ":", '"', "'"), after[:1].isalnum(),
         raw[:1] == "(", "at" in raw, "dot" in raw or "[" in raw or "(" in raw, changes / n, len(groups) == 3 and [len(g) for g in groups] == [3, 3, 4], "/" in raw, raw[:1] == "0",
     ]
 
@@ -251,6 +260,29 @@ def fit(seed: int = 7, rows: int = 6000, trees: int = 60, rate: float = 0.2) ->
     return forest
 
 
+class Taken:
+    """Spans that may not be overlapped, as disjoint ones in order, so that one is looked up by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes the span too if it overlaps none."""
+        k = bisect.bisect_left(self.starts, b)
+        if k and self.ends[k - 1] > a:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
 def spans_of(texts: list[str], forest: Forest) -> list[tuple[list[Span], list[Span]]]:
     """For each text (base spans, spans that the method adds).  Added spans overlap neither base nor each other."""
     found = [(k, s) for k, t in enumerate(texts) for s in candidates(t)]
@@ -258,11 +290,10 @@ def spans_of(texts: list[str], forest: Forest) -> list[tuple[list[Span], list[Sp
     if not found:
         return out
     score = forest.score(np.array([features(texts[k], s) for k, s in found], float))
-    taken: dict[int, list[tuple[int, int]]] = {k: [(a, b) for _, a, b in out[k][0]] for k, _ in found}
+    taken = {k: Taken([(a, b) for _, a, b in out[k][0]]) for k, _ in found}
     for i in sorted(range(len(found)), key=lambda i: (-score[i], found[i][0], found[i][1][1], -found[i][1][2])):
         k, (kind, a, b) = found[i]
-        if score[i] >= forest.least[kind] and not any(x < b and a < y for x, y in taken[k]):
-            taken[k].append((a, b))
+        if score[i] >= forest.least[kind] and taken[k].add(a, b):
             out[k][1].append((kind, a, b))
     return out
 
@@ -305,7 +336,11 @@ def found_in(docs: DataFrame, forest: Forest | None = None, id_col: str = "doc_i
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
-    """docs with every span of `text` replaced, base and added, and n_chars, where there is one, counted anew."""
+    """docs with every span of `text` replaced, base and added, and n_chars, where there is one, counted anew.
+
+    Each row gives one row: a null text stays null, an empty one empty, and texts of any length are read whole.
+    Repeated rows are redacted alike; other columns, of any names, stay as they are; an empty table stays empty.
+    """
     forest = forest or fit()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

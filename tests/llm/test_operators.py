@@ -242,3 +242,33 @@ def test_few_words_remembered():
         vocab = sentencepieces.vocabulary()
         vocab.remembered = remembered
         assert [list(vocab.encode([t])[0]) for t in texts * 2] == want * 2
+
+
+def test_values_behind_names_are_secrets():
+    key = "Zk3vT9qLw2XbN7mR5cYd8HsJ"
+    ((_, added),) = pii.spans_of([f"set api_key={key} in the file"], pii.fit())
+    assert added == [("secret", 12, 12 + len(key))]
+
+
+def test_taken_spans_against_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        base = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 200, 8), rng.integers(1, 20, 8))]
+        taken, plain = pii.Taken(base), list(base)
+        for a, n in zip(rng.integers(0, 220, 60).tolist(), rng.integers(1, 12, 60).tolist()):
+            free = not any(x < a + n and a < y for x, y in plain)
+            assert taken.add(a, a + n) == free
+            plain += [(a, a + n)] * free
+
+
+def test_many_numbers_in_one_text_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        pii.spans_of(["call 555-123-4567 now. " * n], forest)
+        return time.process_time() - began
+
+    forest = pii.fit()
+    took(50)
+    assert took(8000) <= 12 * took(1000) + 0.5
