@@ -1,7 +1,9 @@
 """Quality rules by line labels: a linear-chain conditional random field marks lines as content or boilerplate.
 
-The field is fitted on lines of a bounded sample of labelled documents, each line taking its document's quality
-label.  Viterbi decoding labels every line of every text; the share of words in content lines decides.
+The field is fitted on lines of a bounded sample of labelled documents.  There are labels of documents alone, so a
+line's label starts as its document's and is mended: a line that stands in several documents is boilerplate, and one
+that a first field is sure to be of the other kind, by the line alone, takes that kind.  So labels change within texts.
+Viterbi decoding labels every line of every text; the share of words in content lines decides.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, raw_texts, slices
 from .textstats import BAR, DIGIT, LOWER, SHOUT, SPACE, START, STOP, SYMBOL, UPPER, Stats, analyse
+from .wordhash import mix
 
-#: Documents and lines of a document in the sample; neither bounds what is scored.
+#: Documents in the sample and lines in a row of each, from a place that hangs on its id; neither bounds what is scored.
 SAMPLE_DOCS, SAMPLE_LINES = 3000, 400
 #: Least share of words in content lines for a document to be kept.
 CONTENT_SHARE = 0.5
 #: Base rules: fewest words, and most words in repeated windows per 100 words.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 FEATURES = 12
+#: Documents of the sample that a line stands in to be boilerplate, and how sure a first field must be of a line's kind.
+COMMON, SURE = 3, 0.9
 
 
 @dataclass
@@ -133,23 +138,45 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = analyse(raw_texts(part.column("text")))
             x = line_features(s).astype(np.float32)
             edge = np.searchsorted(s.doc, np.arange(part.num_rows + 1))
-            rows = [x[a : min(b, a + SAMPLE_LINES)].tobytes() for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.record_batch([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
+            runs = []
+            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), edge[:-1].tolist(), edge[1:].tolist()):
+                spare = max(0, b - a - SAMPLE_LINES)
+                a += int(mix(np.array([doc_id], np.int64).view(np.uint64))[0]) % (spare + 1)
+                runs.append(slice(a, min(b, a + SAMPLE_LINES)))
+            columns = [part.column("doc_id"), part.column("y"), pa.array([x[r].tobytes() for r in runs], pa.binary()), pa.array([s.line[r].tobytes() for r in runs], pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "y", "x", "line"])
+
+
+def line_labels(x: np.ndarray, y: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The label of each line from its document's, y; line: hashes of the lines."""
+    pairs = np.unique(np.stack([line, doc.astype(np.uint64)], axis=1), axis=0)
+    names, docs = np.unique(pairs[:, 0], return_counts=True)
+    common = (docs[np.searchsorted(names, line)] >= COMMON) & (x[:, 11] == 0)
+    truth = np.where(common, 0, y)
+    if len(np.unique(truth)) < 2:
+        return truth
+    margin = x @ fit(x, truth, np.arange(len(x)), rounds=60).weights  # each line a text of its own
+    content = 1 / (1 + np.exp(margin[:, 0] - margin[:, 1]))
+    return np.where(common, 0, np.where(content >= SURE, 1, np.where(content <= 1 - SURE, 0, truth)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_DOCS) -> Field | None:
-    """Fit on at most `rows` labelled documents, and as many of their lines as SAMPLE_LINES at most.
+    """Fit on at most `rows` labelled documents, and SAMPLE_LINES lines in a row of each at most.
 
     None if the sample lacks one of the two labels: then nothing can be learned, and every line counts as content.
+    Null ids and labels are left out, null and empty texts are one empty line; of several rows of an id one is
+    taken (`labelled_sample`); other columns are not read; empty tables give None.
     """
     sample = labelled_sample(docs, labels, label, rows).select("doc_id", F.col("text").cast("binary").alias("text"), "y")
-    got = sample.mapInArrow(_sampled, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
+    got = sample.mapInArrow(_sampled, "doc_id long, y int, x binary, line binary").toPandas().sort_values("doc_id")  # `rows` rows at most
     if got["y"].nunique() < 2:
         return None
     xs = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in got["x"]]
     count = np.array([len(x) for x in xs])
     y = (got["y"].to_numpy() > 0).astype(np.int64)
-    return fit(np.concatenate(xs).astype(float), np.repeat(y, count), np.repeat(np.arange(len(xs)), count))
+    x, doc = np.concatenate(xs).astype(float), np.repeat(np.arange(len(xs)), count)
+    line = np.concatenate([np.frombuffer(b, np.uint64) for b in got["line"]])
+    return fit(x, line_labels(x, np.repeat(y, count), doc, line), doc)
 
 
 def judged(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +204,11 @@ def judged(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_co
 
 
 def kept_rows(docs: DataFrame, field: Field | None) -> DataFrame:
-    """The rows of docs that are kept, with all their columns, in one pass over the texts."""
+    """The rows of docs that are kept, with all their columns, in one pass over the texts.
+
+    A null or empty text fails the base rules and goes; texts of any length are labelled whole; repeated rows are
+    judged alike; columns may have any names; an empty table stays empty.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

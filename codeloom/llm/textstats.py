@@ -24,7 +24,7 @@ class Stats:
     """Per text: words, points (code points), nonspace, symbols, dup_lines, repeat_words, distinct_words, longest_word.
 
     Per line: doc (index of its text) and counts (lines x classes, the last the number of words), dup (1 if the
-    line has a word and equals an earlier line of its text), repeats (words in repeated windows).
+    line has a word and equals an earlier line of its text), repeats (words in repeated windows), line (a hash of it).
     """
 
     words: np.ndarray
@@ -39,6 +39,7 @@ class Stats:
     counts: np.ndarray
     dup: np.ndarray
     repeats: np.ndarray
+    line: np.ndarray
 
 
 def repeated_words(h: np.ndarray, doc: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -76,9 +77,9 @@ def analyse(texts: list[bytes]) -> Stats:
     counts[:, [SPACE, START]] -= 1  # the line break itself
     classes = RARE_BITS[data]
     at = np.flatnonzero(classes)
-    line = np.searchsorted(edge, at, "right") - 1
+    line_of_byte = np.searchsorted(edge, at, "right") - 1
     for k in RARE:
-        counts[:, k] = np.bincount(line[(classes[at] >> RARE.index(k)) & 1 == 1], minlength=lines)
+        counts[:, k] = np.bincount(line_of_byte[(classes[at] >> RARE.index(k)) & 1 == 1], minlength=lines)
     start, end = words(data)
     line_of_word = np.searchsorted(edge, start, "right") - 1
     doc_of_word = doc[line_of_word]
@@ -86,7 +87,8 @@ def analyse(texts: list[bytes]) -> Stats:
     sums = prefix(data)
     h = pieces(sums, start, end)
     inside = repeated_words(h, doc_of_word)
-    own = pieces(sums, edge[:-1], edge[1:] - 1) ^ mix(doc.astype(np.uint64) + np.uint64(1))
+    line = pieces(sums, edge[:-1], edge[1:] - 1)
+    own = line ^ mix(doc.astype(np.uint64) + np.uint64(1))
     dup = np.ones(lines, np.int64)
     dup[np.unique(own, return_index=True)[1]] = 0
     dup *= counts[:, 9] > 0
@@ -99,5 +101,5 @@ def analyse(texts: list[bytes]) -> Stats:
         words=by_doc(counts[:, 9]), points=by_doc(counts[:, START]) + np.bincount(doc, minlength=n) - 1, nonspace=by_doc(counts[:, START] - counts[:, SPACE]),
         symbols=by_doc(counts[:, SYMBOL]), dup_lines=by_doc(dup), repeat_words=np.bincount(doc_of_word, weights=inside, minlength=n).astype(np.int64),
         distinct_words=np.bincount((pairs >> np.uint64(40)).astype(np.int64), minlength=n), longest_word=longest, doc=doc, counts=counts, dup=dup,
-        repeats=np.bincount(line_of_word, weights=inside, minlength=lines).astype(np.int64),
+        repeats=np.bincount(line_of_word, weights=inside, minlength=lines).astype(np.int64), line=line,
     )

@@ -272,3 +272,39 @@ def test_many_numbers_in_one_text_take_time_in_proportion():
     forest = pii.fit()
     took(50)
     assert took(8000) <= 12 * took(1000) + 0.5
+
+
+def test_field_is_the_likeliest():
+    """Of the penalised likelihood, by all labellings of short texts, the fit is a maximum."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    doc = np.repeat(np.arange(12), 4)
+    x, y = np.c_[np.ones(48), rng.normal(size=(48, 2))], (rng.random(48) < 0.6).astype(int)
+    field = line_crf.fit(x, y, doc, rounds=1500, penalty=0.05)
+
+    def value(weights, pairs):
+        total = 0.0
+        for d in range(12):
+            own = x[doc == d] @ weights
+            score = lambda p: sum(own[k, s] for k, s in enumerate(p)) + sum(pairs[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            total += score(y[doc == d].tolist()) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=4)))
+        return total / 12 - 0.025 * (weights**2).sum() - 0.05 * (pairs**2).sum()
+
+    best = value(field.weights, field.pairs)
+    for _ in range(20):
+        assert value(field.weights + rng.normal(size=(3, 2)) * 0.05, field.pairs + rng.normal(size=(2, 2)) * 0.05) < best + 1e-4
+
+
+def test_labels_change_within_texts():
+    rng = np.random.default_rng(5)
+    doc, n = np.repeat(np.arange(40), 6), 240
+    x = np.zeros((n, line_crf.FEATURES))
+    x[:, 0], x[:, 1] = 1, 0.8 + 0.1 * rng.random(n)
+    y = (doc % 2).astype(int)
+    x[y == 0, 3] = 1
+    x[5::60, 3] = 0  # a line of content in some bad documents
+    line = np.arange(n, dtype=np.uint64)
+    line[6::12], x[6::12, 2] = 10**6, 1  # a first line that all good documents have
+    got = line_crf.line_labels(x, y, doc, line)
+    assert (got[6::12] == 0).all() and (got[5::60] == 1).all() and (got[7::12] == 1).all() and (got[0::12] == 0).all()
