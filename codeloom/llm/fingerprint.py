@@ -92,7 +92,12 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint) of each row.  A null text counts as empty, which is one empty paragraph."""
+    """(doc_id, fingerprint) of each row.
+
+    A null text counts as empty, which is one empty paragraph; texts of any length are read whole.  Equal texts have
+    equal fingerprints, so repeated rows give repeated results; a null id stays null; other columns, of any names, are
+    not read; an empty table gives an empty result.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,19 +127,23 @@ def _compared(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
 
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket, in the order of the chain; a bucket's guest, its last, is what follows the bucket."""
+    """Rows come by bucket, in the order of the chain; a bucket's guest, its last, is what follows the bucket.
+
+    Of `copies` equal rows each but the last is followed by the next of them.
+    """
     waiting: list[tuple[int | None, str, str]] = []
     held, size = None, 0
     for batch in batches:
         for part in slices(batch, "text"):
-            for bucket, guest, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):
+            for bucket, guest, doc_id, text, copies in zip(*(part.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text", "copies"))):
                 if held and held[0] == bucket:
-                    waiting.append((held[1], held[2], text))
-                    size += len(held[2])
-                    if size > 1 << 20:
-                        yield _compared(waiting)
-                        waiting, size = [], 0
-                held = None if guest else (bucket, doc_id, text)
+                    for k in range(held[3], 0, -1):
+                        waiting.append((held[1], held[2], text if k == 1 else held[2]))
+                        size += len(held[2])
+                        if size > 1 << 20 or len(waiting) > 1 << 14:
+                            yield _compared(waiting)
+                            waiting, size = [], 0
+                held = None if guest else (bucket, doc_id, text, copies)
     if waiting:
         yield _compared(waiting)
 
@@ -149,43 +158,58 @@ def edited_and_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 
     Rows are dealt to buckets by ranges of ids, whose cuts are quantiles.  The only extra rows that a bucket needs
     are its guest, the first row of the bucket below, so texts are shuffled once.  The driver learns one id for
-    each bucket.  Rows of one id are always in one bucket.
+    each bucket.  An id with many rows, or the rows without one, are dealt to buckets by ranges of their texts'
+    hashes, copies counted first.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     count = ids.count()
     buckets = max(1, min(count // bucket_rows, 100_000))
-    cuts: list[int] = []
+    tie = F.xxhash64("text")
+    cuts: set[int] = set()
+    heavy: dict[int | None, int] = {}  # parts of ids with more rows than two buckets; there are fewer such ids than buckets
     if buckets > 1:
         share = [k / buckets for k in range(1, buckets)]
-        cuts = sorted({x for x in ids.agg(F.percentile_approx("doc_id", share, 10 * buckets)).first()[0] or []})
-    edges = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
+        cuts = set(ids.agg(F.percentile_approx("doc_id", share, 10 * buckets)).first()[0] or [])
+        most = 2 * max(bucket_rows, count // buckets)
+        heavy = {r["doc_id"]: -(-r["count"] // bucket_rows) for r in ids.groupBy("doc_id").count().where(F.col("count") > most).collect()}
+        cuts |= {x for v in heavy if v is not None for x in (v - 1, v) if x >= -(1 << 63)}
+    edges, width = np.array(sorted(cuts), np.int64), max(heavy.values(), default=1)
+    rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    if heavy:
+        known = F.coalesce(F.col("doc_id").isin([v for v in heavy if v is not None]), F.lit(None in heavy))
+        many = rows.where(known).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+        rows = rows.where(~known).unionByName(many)
+
+    @F.pandas_udf("long")
     def bucket_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, x.to_numpy(np.int64), "left").astype("int32") + 1)
+        return pd.Series((np.searchsorted(edges, x.to_numpy(np.int64), "left").astype("int64") + 1) * width)
 
-    def placed(df: DataFrame) -> DataFrame:
-        known = F.col("doc_id").isNotNull()  # nulls make bucket 0: in pandas they would turn ids to floats
-        at = bucket_of(F.coalesce("doc_id", F.lit(0))) if cuts else F.lit(1)
-        return df.withColumn("bucket", F.when(known, at).otherwise(F.lit(0)))
+    def placed(df: DataFrame, texts: bool) -> DataFrame:
+        at = bucket_of(F.coalesce("doc_id", F.lit(0))) if len(edges) else F.lit(width).cast("long")
+        bucket = F.when(F.col("doc_id").isNotNull(), at).otherwise(F.lit(0).cast("long"))  # in pandas nulls would turn ids to floats
+        if texts:  # the share of all hashes below the row's own, in parts; the chain's first part has the largest number
+            below = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 33)
+            for v, parts in heavy.items():
+                bucket = bucket + F.when(F.col("doc_id").eqNullSafe(F.lit(v).cast("long")), parts - 1 - F.shiftright(below * parts, 31)).otherwise(F.lit(0))
+        return df.withColumn("bucket", bucket)
 
     # The first row of each bucket in the order of the chain: largest id, then smallest text hash and text.
-    tops = placed(ids).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
+    tops = placed(rows if heavy else ids, bool(heavy)).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()
     present = sorted((r["bucket"] for r in tops), reverse=True)  # the order of the chain
     top = {r["bucket"]: r["top"] for r in tops}
     host = {b: present[k - 1] for k, b in enumerate(present)}  # whose guest is b's first row
-    tie = F.xxhash64("text")
-    base = placed(rows).withColumn("guest", F.lit(False))
+    base = placed(rows, bool(heavy)).withColumn("guest", F.lit(False))
     if present:
-        table = spark.createDataFrame([(top[b], b, host[b]) for b in present], "top long, of int, host int")
-        firsts = rows.join(F.broadcast(table), rows["doc_id"].eqNullSafe(table["top"]))
+        table = spark.createDataFrame([(top[b], b, host[b]) for b in present], "top long, of long, host long")
+        firsts = rows.join(F.broadcast(table.select("top").distinct()), rows["doc_id"].eqNullSafe(F.col("top"))).drop("top")
+        firsts = placed(firsts, bool(heavy)).join(F.broadcast(table), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
         firsts = firsts.groupBy("of", "host", "doc_id").agg(F.min(F.struct(tie.alias("h"), "text")).alias("x"))
-        guests = firsts.select("doc_id", F.col("x.text").alias("text"), F.col("host").alias("bucket"), F.lit(True).alias("guest"))
+        guests = firsts.select("doc_id", F.col("x.text").alias("text"), F.lit(1).cast("long").alias("copies"), F.col("host").alias("bucket"), F.lit(True).alias("guest"))
         base = base.unionByName(guests)
     partitions = max(1, min(len(present), max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(present) // 8)))
     dealt = base.repartition(partitions, "bucket").sortWithinPartitions(F.desc("bucket"), "guest", F.desc_nulls_last("doc_id"), tie, "text")
-    return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(
+    return dealt.select("bucket", "guest", "doc_id", "text", "copies").mapInArrow(
         _chained, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -101,3 +101,38 @@ def test_links_of_real_documents(spark, segments):
     for i, a in enumerate(fps):
         for b in fps[:i]:
             assert (a ^ b).bit_count() > 2 or find(a) == find(b)
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 4096])
+def test_chain_of_null_and_repeated_ids(spark, bucket_rows):
+    """Many rows without an id, many of one id and a row again and again: the same as the plain chain."""
+    import hashlib
+
+    import xxhash
+
+    texts = [f"text {k} " * (k % 5) + "end" for k in range(40)]
+    rows = [(None, t) for t in texts[:20]] + [(7, t) for t in texts[10:40]] + [(7, "again and again")] * 25 + [(None, "")] * 9 + [(k, t) for k, t in enumerate(texts[:12])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), 42))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), t == after))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256, r.near_next == 1.0 and r.fingerprint == r.fingerprint) for r in fingerprint.edited_and_next(df, bucket_rows).collect()]
+    assert sorted(x[:3] for x in got if x[0] is not None) == sorted(x[:3] for x in want if x[0] is not None)
+    assert sorted(x[1:3] for x in got if x[0] is None) == sorted(x[1:3] for x in want if x[0] is None)
+
+
+def test_likeness_against_brute_force():
+    """The sketch estimates the Dice share of word shingles, paragraph by paragraph."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for kept in (0.2, 0.5, 0.9):
+        a = [f"w{x}" for x in rng.integers(0, 10**6, 2000)]
+        b = a[: int(kept * 2000)] + [f"w{x}" for x in rng.integers(0, 10**6, 2000 - int(kept * 2000))]
+        (wide, sketch) = fingerprint.vectors([" ".join(x).encode() for x in (a, b)])
+        near = fingerprint.likeness((wide[:1], sketch[:1]), (wide[1:], sketch[1:]))[0]
+        grams = [{tuple(x[i : i + 3]) for i in range(1998)} for x in (a, b)]
+        assert abs(near - 2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1]))) < 0.2
