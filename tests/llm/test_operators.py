@@ -308,3 +308,53 @@ def test_labels_change_within_texts():
     line[6::12], x[6::12, 2] = 10**6, 1  # a first line that all good documents have
     got = line_crf.line_labels(x, y, doc, line)
     assert (got[6::12] == 0).all() and (got[5::60] == 1).all() and (got[7::12] == 1).all() and (got[0::12] == 0).all()
+
+
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, repeats=2):
+    out, open_ = [None] * len(sizes), set(range(len(sizes)))
+    rest = share * sum(sizes)
+    while open_:
+        w = sum(weights[k % 3] for k in open_)
+        over = {k for k in open_ if rest * weights[k % 3] / w > repeats * sizes[k]}
+        if not over:
+            for k in open_:
+                out[k] = rest * weights[k % 3] / w
+            break
+        for k in over:
+            out[k] = float(repeats * sizes[k])
+        rest, open_ = rest - sum(repeats * sizes[k] for k in over), open_ - over
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sources_against_brute_force(spark, seed):
+    """Targets and seats of many sources, hot and tiny ones and ties among them."""
+    rng = np.random.default_rng(seed)
+    sizes = [0, 5, 5, 5, 5, 100_000, *rng.integers(1, 3000, 40).tolist()]
+    names = sorted({f"s{x}" for x in rng.integers(0, 10**6, len(sizes) * 2)})[: len(sizes) - 1]
+    sources = mixing.numbered(spark.createDataFrame(list(zip([*names, None], sizes)), "source string, size long").repartition(4))
+    got = mixing.with_targets(sources).collect()
+    order = {n: k for k, n in enumerate(names)} | {None: len(names)}
+    assert all(r.sid == order[r.source] for r in got)
+    want = plain_targets(sizes)
+    assert all(r.target == pytest.approx(want[r.sid], rel=1e-12) for r in got)
+    seats = round(sum(want) / 128)
+    caps = [2 * -(-n // 128) for n in sizes]
+    given = [0] * len(sizes)
+    for _ in range(min(seats, sum(c for c, w in zip(caps, want) if w > 0))):
+        k = max((k for k in range(len(sizes)) if given[k] < caps[k] and want[k] > 0), key=lambda k: (want[k] / (2 * given[k] + 1), -k))
+        given[k] += 1
+    table = spark.createDataFrame([(k, want[k], caps[k]) for k in range(len(sizes))], "sid long, target double, caps long")
+    assert [r.seats for r in mixing.with_seats(table, seats).orderBy("sid").collect()] == given
+    assert mixing.with_seats(table, 0).agg({"seats": "sum"}).first()[0] == 0
+
+
+def test_mix_of_one_row_again_and_again(spark):
+    rows = [(None, "a b c", "x")] * 500 + [(1, "d e f g", "x")] * 3 + [(k, "w " * (k % 40), "y") for k in range(200)] + [(None, None, None)] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mixed(df, block=4, shard_words=700).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    again = mixing.mixed(df.repartition(3), block=4, shard_words=700).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    for size, target in {(r.source_size, r.target) for r in got}:
+        assert abs(sum(r.taken for r in got if r.source_size == size) - target) <= 4 * 8
