@@ -93,13 +93,16 @@ def with_seats(sources: DataFrame, seats: int, votes: str = "target", caps: str
     """
     v, cap = F.col(votes), F.col(caps)
     at = lambda d: F.when(v > 0, F.least(cap, F.floor((v / F.lit(d) + 1) / 2))).otherwise(F.lit(0).cast("long"))
-    room, least, most, top = sources.agg(F.sum(F.when(v > 0, cap)), F.min(F.when(v > 0, v)), F.max(cap), F.max(v)).first()
+    room, least, most, top, every, n = sources.agg(F.sum(F.when(v > 0, cap)), F.min(F.when(v > 0, v)), F.max(cap), F.max(v), F.sum(v), F.count_if(v > 0)).first()
     seats = min(seats, room or 0)
     if seats <= 0:
         return sources.withColumn("seats", F.lit(0).cast("long"))
     low, high, given = least / (2.0 * most + 2), top * 2.0, 0
+    guess = every / max(1.0, 2.0 * seats - n)  # without caps, about half a seat a source is rounded away
+    near = [guess * (1 + s * 10.0**-k) for k in range(1, 7) for s in (-1, 1)]
     while given < seats:
-        tried = [x for x in np.geomspace(low, high, TRIED + 2)[1:-1].tolist() if low < x < high]
+        tried = sorted(x for x in {*np.geomspace(low, high, TRIED + 2).tolist(), *near} if low < x < high)
+        near = []
         if not tried:
             break
         for d, n in zip(tried, sources.agg(*[F.sum(at(d)) for d in tried]).first()):

@@ -27,6 +27,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids, and pairs whose admissibility, a worker remembers.  Of words, the half not used lately is forgotten.
 REMEMBERED = 1_000_000
+#: Characters of the longest word that is remembered, so that what is remembered is bounded in bytes; no tokens hang on it.
+LONGEST = 64
 UNKNOWN_PENALTY = 10.0
 #: The lengths of pieces to try are looked up by so many last characters.
 TAIL = 3
@@ -133,7 +135,11 @@ class Vocabulary:
         again = new & self.older.keys()
         self.words.update((w, self.older[w]) for w in again)
         self.learn(sorted(new - again))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, c)), np.int32) for c in cut]
+        out = [np.frombuffer(b"".join(map(self.words.__getitem__, c)), np.int32) for c in cut]
+        for w in new - again:
+            if len(w) > LONGEST:
+                del self.words[w]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the mark put in front; bytes that aren't UTF-8 become U+FFFD."""
