@@ -15,7 +15,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -140,7 +139,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k in range(held[3], 0, -1):
                         waiting.append((held[1], held[2], text if k == 1 else held[2]))
                         size += len(held[2])
-                        if size > 1 << 20 or len(waiting) > 1 << 14:
+                        if size > 1 << 19 or len(waiting) > 1 << 14:
                             yield _compared(waiting)
                             waiting, size = [], 0
                 held = None if guest else (bucket, doc_id, text, copies)
@@ -148,6 +147,17 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(waiting)
 
 
+def below(x: F.Column, edges: list[int]) -> F.Column:
+    """How many of the sorted edges are less than x: among every s-th edge first, then among the s behind the last of these."""
+    if not edges:
+        return F.lit(0)
+    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    s = max(1, round(len(edges) ** 0.5))
+    coarse = F.size(F.filter(array(edges[::s]), lambda e: e < x))
+    fine = F.slice(array(edges), (F.greatest(coarse, F.lit(1)) - 1) * s + 1, F.lit(s))
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * s + F.size(F.filter(fine, lambda e: e < x)))
+
+
 def edited_and_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each row with its fingerprint, its edited text's, and their likeness to each other and to the next row's.
 
@@ -175,24 +185,20 @@ def edited_and_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
         most = 2 * max(bucket_rows, count // buckets)
         heavy = {r["doc_id"]: -(-r["count"] // bucket_rows) for r in ids.groupBy("doc_id").count().where(F.col("count") > most).collect()}
         cuts |= {x for v in heavy if v is not None for x in (v - 1, v) if x >= -(1 << 63)}
-    edges, width = np.array(sorted(cuts), np.int64), max(heavy.values(), default=1)
+    edges, width = sorted(cuts), max(heavy.values(), default=1)
     rows = rows.withColumn("copies", F.lit(1).cast("long"))
     if heavy:
         known = F.coalesce(F.col("doc_id").isin([v for v in heavy if v is not None]), F.lit(None in heavy))
         many = rows.where(known).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
         rows = rows.where(~known).unionByName(many)
 
-    @F.pandas_udf("long")
-    def bucket_of(x: pd.Series) -> pd.Series:
-        return pd.Series((np.searchsorted(edges, x.to_numpy(np.int64), "left").astype("int64") + 1) * width)
-
     def placed(df: DataFrame, texts: bool) -> DataFrame:
-        at = bucket_of(F.coalesce("doc_id", F.lit(0))) if len(edges) else F.lit(width).cast("long")
-        bucket = F.when(F.col("doc_id").isNotNull(), at).otherwise(F.lit(0).cast("long"))  # in pandas nulls would turn ids to floats
+        at = ((below(F.col("doc_id"), edges) + 1) * width).cast("long")
+        bucket = F.when(F.col("doc_id").isNotNull(), at).otherwise(F.lit(0).cast("long"))
         if texts:  # the share of all hashes below the row's own, in parts; the chain's first part has the largest number
-            below = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 33)
+            place = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(-(1 << 63))), 33)
             for v, parts in heavy.items():
-                bucket = bucket + F.when(F.col("doc_id").eqNullSafe(F.lit(v).cast("long")), parts - 1 - F.shiftright(below * parts, 31)).otherwise(F.lit(0))
+                bucket = bucket + F.when(F.col("doc_id").eqNullSafe(F.lit(v).cast("long")), parts - 1 - F.shiftright(place * parts, 31)).otherwise(F.lit(0))
         return df.withColumn("bucket", bucket)
 
     # The first row of each bucket in the order of the chain: largest id, then smallest text hash and text.

@@ -136,3 +136,13 @@ def test_likeness_against_brute_force():
         near = fingerprint.likeness((wide[:1], sketch[:1]), (wide[1:], sketch[1:]))[0]
         grams = [{tuple(x[i : i + 3]) for i in range(1998)} for x in (a, b)]
         assert abs(near - 2 * len(grams[0] & grams[1]) / (len(grams[0]) + len(grams[1]))) < 0.2
+
+
+def test_buckets_by_edges(spark):
+    from bisect import bisect_left
+
+    edges = sorted({(k * 37) % 1000 - 300 for k in range(150)} | {-(1 << 63), (1 << 63) - 1})
+    for cuts in ([], [5], edges):
+        xs = [-(1 << 63), -300, -1, 0, 5, 6, 77, 699, 700, (1 << 63) - 1]
+        got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", fingerprint.below(F.col("x"), cuts).alias("n")).collect()
+        assert all(r.n == bisect_left(cuts, r.x) for r in got)
