@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -16,8 +16,20 @@ from .errors import EngineError
 from .service import Analysis, AnalysisService
 
 
+def graph_text(result: Analysis) -> Iterator[str]:
+    """The graph as one JSON document, keys in order, piece by piece: a partition's rows at most are on the driver."""
+    nodes, edges = result.graph.dump()
+    yield '{\n  "graph": {\n'
+    for n, (name, rows) in enumerate((("edges", edges), ("nodes", nodes))):
+        yield f'    "{name}": ['
+        for k, row in enumerate(rows.toLocalIterator()):
+            yield (",\n      " if k else "\n      ") + json.dumps(json.loads(row.value), sort_keys=True)
+        yield "\n    ]" + ("\n" if n else ",\n")
+    yield '  },\n  "stats": ' + json.dumps(result.stats(), sort_keys=True) + "\n}\n"
+
+
 def graph_dict(result: Analysis) -> dict:
-    """The whole graph for one JSON document; `KnowledgeGraph.dump` writes larger ones without the driver."""
+    """The whole graph for an answer over HTTP; `graph_text` and `KnowledgeGraph.dump` don't gather it."""
     nodes, edges = result.graph.dump()
     parse = lambda rows: [json.loads(r.value) for r in rows.toLocalIterator()]
     return {"stats": result.stats(), "graph": {"nodes": parse(nodes), "edges": parse(edges)}}
@@ -34,13 +46,14 @@ def _ingest(service: AnalysisService, args: argparse.Namespace) -> None:
 
 
 def _build(service: AnalysisService, args: argparse.Namespace) -> None:
-    payload = graph_dict(service.analyze(args.path))
-    text = json.dumps(payload, indent=2, sort_keys=True)
+    result = service.analyze(args.path)
     if args.out is None:
-        print(text)
-    else:
-        Path(args.out).write_text(text, encoding="utf-8")
-        print(f"wrote {args.out} ({payload['stats']['nodes']} nodes, {payload['stats']['edges']} edges)")
+        sys.stdout.writelines(graph_text(result))
+        return
+    with Path(args.out).open("w", encoding="utf-8") as f:
+        f.writelines(graph_text(result))
+    stats = result.stats()
+    print(f"wrote {args.out} ({stats['nodes']} nodes, {stats['edges']} edges)")
 
 
 def _cycles(service: AnalysisService, args: argparse.Namespace) -> None:

@@ -60,20 +60,22 @@ class Analysis:
 
 
 class AnalysisService:
-    """Parts can be replaced: how a source becomes a folder, how it is described, and the rules."""
+    """Parts can be replaced: how a source becomes a folder, how it is described and walked, the parsers and resolvers by
+    language, and the rules."""
 
-    def __init__(self, spark: SparkSession, acquire: Callable = acquisition.acquire, describe: Callable = detect, registry: RuleRegistry | None = None) -> None:
+    def __init__(self, spark: SparkSession, acquire: Callable = acquisition.acquire, describe: Callable = detect, registry: RuleRegistry | None = None, walk: Callable = analysis.files, parsers: dict | None = None, resolvers: dict | None = None) -> None:
         self.spark, self.acquire, self.describe, self.registry = spark, acquire, describe, registry or default_registry()
+        self.walk, self.parsers, self.resolvers = walk, parsers, resolvers
 
     def ingest(self, source: str, branch: str | None = None, name: str | None = None) -> Repository:
         root, commit = self.acquire(str(source), branch)
         origin = str(source) if acquisition.is_address(str(source)) else None
-        return Repository(name or root.name, root, origin, branch, commit, self.describe(self.spark, str(root)), analysis.files(self.spark, str(root)).cache())
+        return Repository(name or root.name, root, origin, branch, commit, self.describe(self.spark, str(root)), self.walk(self.spark, str(root)).cache())
 
     def analyze(self, source: str, branch: str | None = None, rule_ids: Sequence[str] | None = None) -> Analysis:
         repository = self.ingest(source, branch)
-        parsed = analysis.parsed_files(repository.files).cache()
-        graph = analysis.graph_of(repository.files.drop("content"), parsed)
+        parsed = analysis.parsed_files(repository.files, self.parsers).cache()
+        graph = analysis.graph_of(repository.files.drop("content"), parsed, self.resolvers)
         graph = KnowledgeGraph(graph.nodes.cache(), graph.edges.cache())
         return Analysis(repository, parsed, graph, self.registry.findings(Subject(graph, parsed), rule_ids))
 

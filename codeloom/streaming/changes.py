@@ -32,6 +32,13 @@ def versions(spark: SparkSession, table: str) -> list[int]:
     return sorted(int(p.getName()[2:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def forget(spark: SparkSession, table: str, kept: int = 3) -> None:
+    """Deletes all but the newest complete versions: a batch that runs again needs the one before it."""
+    for v in versions(spark, table)[:-kept]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
     """The newest complete version (path, content, is_deletion, seq), or that before a batch; empty if there is none."""
     known = [v for v in versions(spark, table) if before is None or v < before]
@@ -40,8 +47,8 @@ def current(spark: SparkSession, table: str, before: int | None = None) -> DataF
     return spark.read.parquet(f"{table}/v={known[-1]}")
 
 
-def maintain(events: DataFrame, table: str, checkpoint: str, delay: str = "1 hour") -> DataStreamWriter:
-    """A writer that merges each batch of a stream of EVENT rows into a new version of table.
+def maintain(events: DataFrame, table: str, checkpoint: str, delay: str = "1 hour", kept: int = 3) -> DataStreamWriter:
+    """A writer that merges each batch of a stream of EVENT rows into a new version of table; the newest `kept` stay.
 
     Repeated events are dropped within the delay.  A batch that runs again after a failure starts from the version
     before it and overwrites its own, so every event counts once.
@@ -49,6 +56,7 @@ def maintain(events: DataFrame, table: str, checkpoint: str, delay: str = "1 hou
 
     def write(batch: DataFrame, number: int) -> None:
         merged(current(batch.sparkSession, table, number), batch).write.mode("overwrite").parquet(f"{table}/v={number}")
+        forget(batch.sparkSession, table, kept)
 
     fresh = events.withWatermark("at", delay).dropDuplicatesWithinWatermark(["path", "seq"])
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

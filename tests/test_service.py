@@ -164,6 +164,14 @@ def test_command_line(spark, tree, tmp_path, capsys):
     assert cli.main(["scan", "-p", "/no/such"], service) == 2
 
 
+def test_parts_can_be_replaced(spark, tree):
+    seen = []
+    walk = lambda s, root: seen.append(root) or analysis.files(s, root).where("path like 'pkg/%'")
+    service = AnalysisService(spark, walk=walk, parsers={"python": lambda p, c: (p, [(p, p, "module", None, 0, 0, 0, 0, 0, 0)], [], [], [], [])}, resolvers={})
+    result = service.analyze(str(tree))
+    assert seen and result.repository.file_count == 3 and result.graph.edges.where("kind = 'imports'").count() == 0 and result.parsed.count() == 3
+
+
 def test_http(spark, tree):
     routes = Routes(AnalysisService(spark))
     assert routes.answer("GET", "/health")[1]["status"] == "ok" and routes.answer("GET", "/ready")[0] == 200
@@ -196,3 +204,5 @@ def test_stream_of_changes(spark, tmp_path):
     assert run() == [("a", "2")]
     event(("b", "late", False, 3))
     assert run() == [("a", "2")]
+    event(("c", "4", False, 5))
+    assert run() == [("a", "2"), ("c", "4")] and len(changes.versions(spark, str(tmp_path / "t"))) == 3
