@@ -36,7 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again: lineage ends here."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what `stored` wrote for these, when all that was made of them is stored itself; other frames stay as they are."""
+    for df in frames:
+        if name := df.__dict__.get("_scratch"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -113,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         now = state(edges)
         if now == seen:
             break

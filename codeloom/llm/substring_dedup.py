@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, forest, fresh, raw_texts, slices, stored
+from .common import components, discard, forest, fresh, raw_texts, slices, stored
 from .wordhash import mix, pieces, prefix, words
 
 #: Words between two cuts: more than REACH, unless word pairs recur within it.
@@ -459,6 +459,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     met = stored(met.where("low < high").select(F.col("key").alias("met_key"), (F.col("h_low") != F.col("h_high")).alias("differ")), "met")
     # The keys that meet are few, so they are hashed, and the paragraphs of all texts needn't be sorted.
     members = stored(banded.join(met.hint("shuffle_hash"), banded["key"] == met["met_key"]).drop("met_key"), "members")
+    discard(met)
     # Unequal paragraphs in a bucket: one place of each is looked up again for its shingles.
     unequal = members.where("differ").groupBy("h").agg(F.min(F.struct("doc_id", "word", "check")).alias("at"))
     asked = unequal.groupBy(F.col("at.doc_id").alias("asked_id")).agg(F.collect_set("h").alias("asked"))  # no more than the document's paragraphs
@@ -472,6 +473,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     own = F.when(F.col("root").isNull(), F.struct(F.col("h").alias("id"), "check")).otherwise(F.struct(F.col("root").alias("id"), F.lit(0).alias("check")))
     classed = places.join(roots, (places["h"] == roots["linked"]) & (places["check"] == roots["linked_check"]), "left").where("band = 0 or root is not null").select("doc_id", "word", "n_words", "start", "end", own.alias("cluster"))
     classed = stored(classed, "classed")
+    discard(members, grams)
     clusters = classed.groupBy("cluster").agg(F.min(F.struct("doc_id", "word")).alias("keep"), F.max("doc_id").alias("high"), F.count("*").alias("places"))
     clusters = stored(clusters.where("keep.doc_id < high").select(F.col("cluster").alias("known"), "keep", "places"), "clusters")
     # A cluster with over a HOT-th of all places is sent to every task: there are fewer than HOT of them.
@@ -480,6 +482,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage_words: int
     cold = clusters.where(~is_hot).drop("places").hint("shuffle_hash")
     rest = classed.join(hot, F.col("cluster") == F.col("known"), "left_anti").join(cold, F.col("cluster") == F.col("known"))
     again = stored(classed.join(hot, F.col("cluster") == F.col("known")).unionByName(rest).drop("known"), "again")
+    discard(classed, clusters)
     # Rows of one id, and bands, may give a place again.
     order = Window.partitionBy("doc_id").orderBy("word", "n_words")
     again = again.withColumn("seen", F.lag(F.struct("word", "n_words")).over(order)).where(~F.col("seen").eqNullSafe(F.struct("word", "n_words"))).drop("seen")
