@@ -1,7 +1,7 @@
 """From documents to token ids: quality rules, near-duplicates, personal data, a mix of sources, SentencePiece.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the next stage's documents, the
-last one token ids.  `run` writes each stage's rows to the folder that the cluster shares and reads them again.
+last one token ids.  `run` writes each stage's rows to the folder that the cluster shares and reads them again, and deletes the stage's before.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import line_crf, mixing, pii, sentencepieces, simhash
-from codeloom.llm.common import stored
+from codeloom.llm.common import discard, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)  # the table itself stays
     return docs
