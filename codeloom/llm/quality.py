@@ -133,7 +133,9 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Additive:
     """Fit on at most `rows` labelled documents outside the held-out fold (`labelled_sample`).
 
-    Where the sample has one label only, or none, every score is that label's smoothed share, or one half.
+    Where the sample has one label only, or none, every score is that label's smoothed share, or one half.  Null ids and
+    labels are left out; null and empty texts count as empty ones, texts of any length whole; of several rows of an id
+    one is taken, and of its labels the smallest.  Other columns are not read.
     """
     sample = labelled_sample(docs, labels, label, rows).select("doc_id", F.col("text").cast("binary").alias("text"), "y")
     got = sample.mapInArrow(_featured, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")

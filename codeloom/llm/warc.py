@@ -142,7 +142,7 @@ def read_record(path: str, frame: int, frame_offset: int) -> Record:
 def assigned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with payload, and first: the page_id that answers for an equal payload.
 
-    Equality is by SHA-256 and length.  The smallest page_id answers; payloads under least_bytes answer for
+    Equality is by SHA-256.  The smallest page_id answers; payloads under least_bytes answer for
     themselves.  One row for each payload is what the join's small side has, and AQE may split a hot payload.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
@@ -199,7 +199,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of the bundles that the index names: one row each, with its place.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, bundle, frame, frame_offset, url,
-    block.  A response's length and digest are counted from its block and must agree with its headers.
+    block.  A response's length and digest are counted from its block and must agree with its headers.  Null ids and
+    addresses come back null, empty payloads as empty blocks; a payload of any length is in one record; repeated rows
+    are records of their own.  No bundles give no rows.
     """
     bundles = spark.read.schema(INDEX).parquet(f"{path.rstrip('/')}/index").select("bundle").distinct()
     if bundles.isEmpty():  # an empty table: no bundle was written
